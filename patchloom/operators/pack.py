@@ -57,13 +57,21 @@ def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], we
     group_cols, order_cols = list(group_cols), list(order_cols)
     keys = group_cols + order_cols
     slim = df.select(*keys, F.col(weight_col).alias("__w"))
+    if max_fold_items is None:
+        return df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys)
+    # one small aggregate decides which groups are too long to fold in one task
     sizes = slim.groupBy(*group_cols).agg(F.count("*").alias("__n"))
-    small = slim.join(sizes.where(F.col("__n") <= max_fold_items).select(*group_cols), group_cols, "left_semi")
-    hot = slim.join(sizes.where(F.col("__n") > max_fold_items).select(*group_cols), group_cols, "left_semi")
-    slots = _pack_fold(small, group_cols, order_cols, cap, slot_col)
-    if max_fold_items is not None and max_fold_items < 10**9:
-        from patchloom.operators.pack_parallel import pack_parallel
-        slots = slots.unionByName(pack_parallel(hot, group_cols, order_cols, "__w", cap, slot_col))
+    hot_stats = sizes.where(F.col("__n") > max_fold_items).agg(
+        F.count("*"), F.sum("__n"), F.max("__n")).first()
+    if not hot_stats[0]:
+        return df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys)
+    from patchloom.operators.pack_parallel import pack_parallel
+    hot_keys = sizes.where(F.col("__n") > max_fold_items).select(*group_cols)
+    small = slim.join(hot_keys, group_cols, "left_anti")
+    hot = slim.join(hot_keys, group_cols, "left_semi")
+    slots = _pack_fold(small, group_cols, order_cols, cap, slot_col).unionByName(
+        pack_parallel(hot, group_cols, order_cols, "__w", cap, slot_col,
+                      n_rows=int(hot_stats[1]), max_group=int(hot_stats[2])))
     return df.join(slots, keys)
 
 

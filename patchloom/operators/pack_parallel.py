@@ -1,5 +1,121 @@
-"""Placeholder; replaced below."""
+"""Next-fit packing for groups too large for one task (hot keys).
 
+Same rule as ``pack`` (see there), computed without ever gathering a group:
 
-def pack_parallel(df, group_cols, order_cols, weight_col, cap, slot_col):
-    raise NotImplementedError
+1. positions and prefix sums: ``pos`` (1..N) and ``P`` (inclusive weight sum)
+   by a two-level running sum (range-partitioned blocks, block totals carried
+   forward through a small per-block table);
+2. the next slot start of every item: for an item ``i`` that is not big,
+   ``next(i)`` is the last item ``j`` whose exclusive prefix ``E_j <= E_i + cap``
+   (an as-of lookup done as one sort + running max, also two-level); a big
+   item is followed by a new slot; past the end points to ``N + 1``;
+3. pointer doubling: ``J_{k+1} = J_k o J_k`` (log2 N equi-joins);
+4. slot starts = items reachable from position 1: ``S_{k+1} = S_k U J_k(S_k)``;
+5. ``slot`` = running count of starts (two-level again).
+
+Every step is a join or window over bounded partitions; levels are
+checkpointed to the session's checkpoint folder, which also pins the
+range-partition block ids against recomputation after executor loss.
+Exact for integer weights (and integer-valued doubles); for fractional
+doubles the prefix sums may round differently from a sequential sum.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+ROWS_PER_BLOCK = 1_000_000
+
+
+def _blocks(n_rows: int, rows_per_block: int) -> int:
+    return max(1, math.ceil(n_rows / rows_per_block))
+
+
+def _ranged(df: DataFrame, group_cols, order_cols, n_blocks: int) -> DataFrame:
+    """Sort globally by (group, order); tag each row with its block and in-block id; pin it."""
+    s = df.repartitionByRange(n_blocks, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
+    s = s.withColumn("__blk", F.spark_partition_id()).withColumn("__rid", F.monotonically_increasing_id())
+    return s.checkpoint()
+
+
+def _running(s: DataFrame, group_cols, block_col: str, order_col: str, value: Column, out: str, how: str) -> DataFrame:
+    """Two-level inclusive running ``sum`` / ``max`` of ``value`` per group along (block, order)."""
+    agg = F.sum if how == "sum" else F.max
+    s = s.withColumn("__rv", value)
+    tot = s.groupBy(*group_cols, block_col).agg(agg("__rv").alias("__t"))
+    before = Window.partitionBy(*group_cols).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*group_cols, block_col, agg("__t").over(before).alias("__carry"))
+    s = s.join(carry, list(group_cols) + [block_col])
+    upto = Window.partitionBy(*group_cols, block_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    inner = agg("__rv").over(upto)
+    if how == "sum":
+        res = F.coalesce("__carry", F.lit(0)) + inner
+    else:
+        res = F.greatest("__carry", inner)
+    return s.withColumn(out, res).drop("__rv", "__carry")
+
+
+def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, slot_col: str = "slot",
+                  rows_per_block: int = ROWS_PER_BLOCK, n_rows: int | None = None,
+                  max_group: int | None = None) -> DataFrame:
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    g = group_cols
+    if n_rows is None or max_group is None:
+        st = df.groupBy(*g).count().agg(F.sum("count"), F.max("count")).first()
+        n_rows, max_group = int(st[0] or 0), int(st[1] or 0)
+    nb = _blocks(n_rows, rows_per_block)
+    capl = F.lit(cap)
+
+    # 1. positions and prefix sums
+    s = _ranged(df.select(*g, *order_cols, F.col(weight_col).alias("__w")), g, order_cols, nb)
+    s = _running(s, g, "__blk", "__rid", F.lit(1), "__pos", "sum")
+    s = _running(s, g, "__blk", "__rid", F.col("__w"), "__P", "sum")
+    items = s.select(*g, *order_cols, F.col("__pos").cast("bigint").alias("__pos"), "__w",
+                     (F.col("__P") - F.col("__w")).alias("__E")).checkpoint()
+    totals = items.groupBy(*g).agg(F.max("__pos").alias("__N"), F.sum("__w").alias("__wsum"))
+
+    # 2. next(i) by an as-of lookup: last j with E_j <= E_i + cap
+    data = items.select(*g, F.col("__E").alias("__v"), F.lit(0).alias("__kind"), F.col("__pos").alias("__dpos"),
+                        F.lit(None).cast("bigint").alias("__qpos"))
+    queries = items.where(F.col("__w") <= capl).select(
+        *g, (F.col("__E") + capl).alias("__v"), F.lit(1).alias("__kind"),
+        F.lit(None).cast("bigint").alias("__dpos"), F.col("__pos").alias("__qpos"))
+    u = _ranged(data.unionByName(queries), g, ["__v", "__kind", "__dpos", "__qpos"], _blocks(2 * n_rows, rows_per_block))
+    u = _running(u, g, "__blk", "__rid", F.col("__dpos"), "__j", "max")
+    found = u.where(F.col("__kind") == 1).select(*g, F.col("__qpos").alias("__pos"), F.col("__v").alias("__q"), "__j")
+    nxt = items.select(*g, "__pos", "__w").join(found, g + ["__pos"], "left").join(totals, g)
+    nxt_col = (F.when(F.col("__w") > capl, F.col("__pos") + 1)
+               .when(F.col("__q") >= F.col("__wsum"), F.col("__N") + 1)
+               .otherwise(F.col("__j")))
+    jump = nxt.select(*g, "__pos", nxt_col.cast("bigint").alias("__nx"), "__N").checkpoint()
+
+    # 3. pointer doubling
+    levels = [jump]
+    k_max = max(1, math.ceil(math.log2(max_group + 1)))
+    for _ in range(1, k_max):
+        prev = levels[-1]
+        hop = prev.select(*g, F.col("__pos").alias("__mid"), F.col("__nx").alias("__nx2"))
+        on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in g), F.col("a.__nx") == F.col("b.__mid")]
+        nxt_level = prev.alias("a").join(hop.alias("b"), on, "left").select(
+            *(F.col(f"a.{c}") for c in g), F.col("a.__pos").alias("__pos"),
+            F.coalesce(F.col("b.__nx2"), F.col("a.__nx")).alias("__nx"), F.col("a.__N").alias("__N"))
+        levels.append(nxt_level.checkpoint())
+
+    # 4. slot starts reachable from position 1
+    starts = totals.select(*g, F.lit(1).cast("bigint").alias("__pos"))
+    for lv in levels:
+        step = starts.alias("s").join(lv.alias("l"), [*(F.col(f"s.{c}") == F.col(f"l.{c}") for c in g),
+                                                      F.col("s.__pos") == F.col("l.__pos")])
+        step = step.where(F.col("l.__nx") <= F.col("l.__N")).select(*(F.col(f"s.{c}") for c in g),
+                                                                   F.col("l.__nx").alias("__pos"))
+        starts = starts.unionByName(step).checkpoint()
+
+    # 5. slot = running count of starts up to each position (blocks by position)
+    marks = starts.withColumn("__m", F.lit(1))
+    it = items.select(*g, *order_cols, "__pos").join(marks, g + ["__pos"], "left")
+    it = it.withColumn("__blk", F.floor((F.col("__pos") - 1) / F.lit(rows_per_block)))
+    it = _running(it, g, "__blk", "__pos", F.coalesce("__m", F.lit(0)), slot_col, "sum")
+    return it.select(*g, *order_cols, F.col(slot_col).cast("bigint").alias(slot_col))
