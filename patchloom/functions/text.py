@@ -109,15 +109,18 @@ def files_of(path_a, path_b) -> Column:
     return F.when(a == b, F.array(a)).otherwise(F.array(a, b))
 
 
-def is_generated(files) -> Column:
-    """Any file whose lower-cased path contains one of GENERATED_MARKERS (plain substrings)."""
-    def hit(f):
-        low = F.lower(f)
-        cond = F.lit(False)
-        for m in GENERATED_MARKERS:
-            cond = cond | F.contains(low, F.lit(m))
-        return cond
-    return F.exists(col_(files), hit)
+def is_generated_path(path) -> Column:
+    """The lower-cased path contains one of GENERATED_MARKERS (plain substrings)."""
+    low = F.lower(col_(path))
+    cond = F.lit(False)
+    for m in GENERATED_MARKERS:
+        cond = cond | F.contains(low, F.lit(m))
+    return cond
+
+
+def is_generated(path_a, path_b) -> Column:
+    """C2 on a section's one or two paths (plain codegen'd expressions, no lambda)."""
+    return is_generated_path(path_a) | is_generated_path(path_b)
 
 
 def line_kind(line) -> Column:

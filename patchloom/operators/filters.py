@@ -9,18 +9,23 @@ from patchloom.functions.globs import any_glob
 from patchloom.options import LoadOptions
 
 
-def include_match(files: str, patterns) -> Column:
-    """Some file matches some include glob; no patterns -> everything matches."""
+def _any_path(patterns) -> Column:
+    # a section has one or two paths (path_a == path_b unless renamed)
+    return any_glob("path_a", patterns) | any_glob("path_b", patterns)
+
+
+def include_match(patterns) -> Column:
+    """Some file of the section matches some include glob; no patterns -> everything matches."""
     if not patterns:
         return F.lit(True)
-    return F.exists(F.col(files), lambda f: any_glob(f, patterns))
+    return _any_path(patterns)
 
 
-def exclude_match(files: str, patterns) -> Column:
-    """C4: some file matches some exclude glob."""
+def exclude_match(patterns) -> Column:
+    """C4: some file of the section matches some exclude glob."""
     if not patterns:
         return F.lit(False)
-    return F.exists(F.col(files), lambda f: any_glob(f, patterns))
+    return _any_path(patterns)
 
 
 def drop_reason(opts: LoadOptions) -> Column:
@@ -32,9 +37,9 @@ def drop_reason(opts: LoadOptions) -> Column:
     if opts.skip_generated:
         checks.append((F.col("is_generated"), "generated"))
     if opts.exclude_patterns:
-        checks.append((exclude_match("files", opts.exclude_patterns), "excluded"))
+        checks.append((exclude_match(opts.exclude_patterns), "excluded"))
     if opts.include_patterns:
-        checks.append((~include_match("files", opts.include_patterns), "not_included"))
+        checks.append((~include_match(opts.include_patterns), "not_included"))
     expr = None
     for cond, name in checks:
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)

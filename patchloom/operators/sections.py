@@ -64,7 +64,7 @@ def sections(diffs: DataFrame) -> DataFrame:
         T.count_lines("text").alias("n_raw"),
         T.header_block_len("text").alias("header_len"),
         (~T.has_meaningful_edit("text")).alias("is_trivial"),
-        T.is_generated(T.files_of("path_a", "path_b")).alias("is_generated"),
+        T.is_generated("path_a", "path_b").alias("is_generated"),
         "text",
     )
 

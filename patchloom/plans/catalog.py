@@ -161,7 +161,7 @@ _sec_query("generated_sections", lambda: ["is_generated"], "is_generated")
 def include_filter(spark, sf_dir):
     from patchloom.operators.filters import include_match
     s = S.sections(load_corpus(spark, sf_dir))
-    return s.select("diff_id", _b("sec"), include_match("files", ("*.py", "*.go")).alias("included"))
+    return s.select("diff_id", _b("sec"), include_match(("*.py", "*.go")).alias("included"))
 
 
 @register("exclude_filter", O.base() + "\nSELECT diff_id, CAST(sec AS BIGINT) AS sec, "
@@ -169,7 +169,7 @@ def include_filter(spark, sf_dir):
 def exclude_filter(spark, sf_dir):
     from patchloom.operators.filters import exclude_match
     s = S.sections(load_corpus(spark, sf_dir))
-    return s.select("diff_id", _b("sec"), exclude_match("files", ("src/*",)).alias("excluded"))
+    return s.select("diff_id", _b("sec"), exclude_match(("src/*",)).alias("excluded"))
 
 
 _INC = tuple(p.strip() for p in INCLUDE_CSV.split(",") if p.strip())

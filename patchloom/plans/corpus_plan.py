@@ -24,10 +24,11 @@ class DiffCorpus:
     """
 
     def __init__(self, diffs: DataFrame, options: LoadOptions | None = None,
-                 max_fold_items: int = DEFAULT_MAX_FOLD_ITEMS):
+                 max_fold_items: int = DEFAULT_MAX_FOLD_ITEMS, cache_kept: bool = True):
         self.diffs = diffs
         self.options = options or LoadOptions()
         self.max_fold_items = max_fold_items
+        self.cache_kept = cache_kept
         self._persisted: list[DataFrame] = []
 
     @cached_property
@@ -40,7 +41,14 @@ class DiffCorpus:
 
     @cached_property
     def kept(self) -> DataFrame:
-        return self.filtered.where(F.col("drop_reason").isNull()).drop("drop_reason")
+        """Sections that pass the filters. Packing reads these twice (a group-size
+        check, then the fold) and chunk assembly a third time, so by default the
+        table is persisted (memory, spilling to disk; recomputable from lineage)."""
+        k = self.filtered.where(F.col("drop_reason").isNull()).drop("drop_reason")
+        if self.cache_kept:
+            k = k.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(k)
+        return k
 
     @cached_property
     def chunks(self) -> DataFrame:

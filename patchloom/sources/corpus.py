@@ -42,76 +42,68 @@ def _path_a(k, d, source):
 
 
 def corpus_from_documents(documents: DataFrame) -> DataFrame:
-    """``documents(doc_id, text, lang, source)`` -> ``diffs(diff_id, content)``."""
-    docs = documents.select("doc_id", "text", "lang", "source")
-    body = docs.select(
-        "source", "doc_id",
-        F.when(F.col("lang") == "en", F.lit("en")).otherwise(F.col("doc_id").cast("string")).alias("skey"),
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "txt"),
-    )
+    """``documents(doc_id, text, lang, source)`` -> ``diffs(diff_id, content)``.
+
+    One scan of ``documents``, one window (section id and line number inside
+    the section) and one group-by per diff: every body row emits its own diff
+    lines, and a section's first row also emits the section's header lines.
+    """
+    skey = F.when(F.col("lang") == "en", F.lit("en")).otherwise(F.col("doc_id").cast("string"))
+    body = documents.select("source", "doc_id", skey.alias("skey"),
+                            F.posexplode(F.split("text", "\n", -1)).alias("pos", "txt"))
     by_sec = Window.partitionBy("source", "skey")
     body = body.select(
         "source", "skey", "txt",
         F.min("doc_id").over(by_sec).alias("d"),
         (F.row_number().over(by_sec.orderBy("doc_id", "pos")) - 1).alias("i"),
     )
-    secs = (
-        docs.select("source", "doc_id",
-                    F.when(F.col("lang") == "en", F.lit("en")).otherwise(F.col("doc_id").cast("string")).alias("skey"))
-        .groupBy("source", "skey").agg(F.min("doc_id").alias("d"))
-    )
-    k = F.when(F.col("skey") == "en", F.lit(99)).otherwise(F.col("d") % 12)
+    d, i = F.col("d"), F.col("i")
+    k = F.when(F.col("skey") == "en", F.lit(99)).otherwise(d % 12)
     sn = F.substring("source", 4, 1 << 20).cast("int")
-    secs = secs.select("source", "skey", "d", k.alias("k"), sn.alias("sn"))
-    hl = (F.when(F.col("k") != 99, 8).when(F.col("sn") % 3 == 0, 24)
-          .when(F.col("sn") % 3 == 1, 100000).otherwise(8))
-    pa = _path_a(F.col("k"), F.col("d"), F.col("source"))
-    secs = secs.select("*", hl.alias("hl"), pa.alias("pa"))
-    secs = secs.withColumn("pb", F.when(F.col("k") == 0, F.regexp_replace("pa", "^src/old/", "src/new/")).otherwise(F.col("pa")))
+    body = body.select("*", k.alias("k"), sn.alias("sn"))
+    k = F.col("k")
+    hl = F.when(k != 99, 8).when(F.col("sn") % 3 == 0, 24).when(F.col("sn") % 3 == 1, 100000).otherwise(8)
+    pa = _path_a(k, d, F.col("source"))
+    body = body.select("*", hl.alias("hl"), pa.alias("pa"))
+    body = body.withColumn("pb", F.when(k == 0, F.regexp_replace("pa", "^src/old/", "src/new/")).otherwise(F.col("pa")))
 
-    def lines(df, seq, line):
-        return df.select("source", F.col("d").cast("bigint").alias("d"), F.lit(seq).cast("bigint").alias("seq"), line.alias("line"))
+    def line(seq, text, cond=None):
+        item = F.struct(d.cast("bigint").alias("d"), F.lit(seq).cast("bigint").alias("seq") if isinstance(seq, int)
+                        else seq.cast("bigint").alias("seq"), text.alias("line"))
+        return item if cond is None else F.when(cond, item)
 
-    header = F.when(
-        F.col("k") == 9, F.concat(F.lit('diff --git "a/'), F.col("pa"), F.lit('" "b/'), F.col("pb"), F.lit('"'))
-    ).otherwise(F.concat(F.lit("diff --git a/"), F.col("pa"), F.lit(" b/"), F.col("pb")))
-    index = F.concat(F.lit("index "), F.lpad(F.col("d").cast("string"), 7, "0"), F.lit(".."),
-                     F.lpad((F.col("d") + 1).cast("string"), 7, "0"), F.lit(" 100644"))
-    no_pm = F.col("k").isin(5, 11)
-    parts = [
-        lines(secs, 0, header),
-        lines(secs, 1, index),
-        lines(secs.where(~no_pm), 2, F.concat(F.lit("--- a/"), F.col("pa"))),
-        lines(secs.where(~no_pm), 3, F.concat(F.lit("+++ b/"), F.col("pb"))),
-        lines(secs.where(F.col("k") == 5), 4,
-              F.concat(F.lit("Binary files a/"), F.col("pa"), F.lit(" and b/"), F.col("pb"), F.lit(" differ"))),
-        lines(secs.where(F.col("d") % 2 == 0), _TRAILER_SEQ, F.lit("")),
-    ]
-    b = body.join(secs.where(F.col("k") != 5), ["source", "skey", "d"])
-    i = F.col("i")
-    hunk = F.concat(F.lit("@@ -"), (i + 1).cast("string"), F.lit(","), F.col("hl").cast("string"), F.lit(" +"),
-                    (i + 1).cast("string"), F.lit(","), F.col("hl").cast("string"), F.lit(" @@"))
+    first = i == 0
+    header = F.when(k == 9, F.concat(F.lit('diff --git "a/'), F.col("pa"), F.lit('" "b/'), F.col("pb"), F.lit('"'))
+                    ).otherwise(F.concat(F.lit("diff --git a/"), F.col("pa"), F.lit(" b/"), F.col("pb")))
+    index = F.concat(F.lit("index "), F.lpad(d.cast("string"), 7, "0"), F.lit(".."),
+                     F.lpad((d + 1).cast("string"), 7, "0"), F.lit(" 100644"))
+    has_pm = ~k.isin(5, 11)
+    binary = F.concat(F.lit("Binary files a/"), F.col("pa"), F.lit(" and b/"), F.col("pb"), F.lit(" differ"))
+    n = (i + 1).cast("string")
+    hunk = F.concat(F.lit("@@ -"), n, F.lit(","), F.col("hl").cast("string"), F.lit(" +"), n, F.lit(","),
+                    F.col("hl").cast("string"), F.lit(" @@"))
     sign = F.when(i % 3 == 0, "+").when(i % 3 == 1, "-").otherwise(" ")
     text_line = (
-        F.when(F.col("k") == 4, F.when(i % 3 == 0, F.lit("+  ")).otherwise(F.concat(F.lit(" "), F.col("txt"))))
+        F.when(k == 4, F.when(i % 3 == 0, F.lit("+  ")).otherwise(F.concat(F.lit(" "), F.col("txt"))))
         .when(i % 17 == 16, F.concat(F.lit("--- "), F.col("txt")))
         .otherwise(F.concat(sign, F.when(i % 11 == 5, F.lit("")).otherwise(F.col("txt"))))
     )
-    parts.append(b.where(i % F.col("hl") == 0).select(
-        "source", F.col("d").cast("bigint").alias("d"), (10 + 2 * i).cast("bigint").alias("seq"), hunk.alias("line")))
-    parts.append(b.select(
-        "source", F.col("d").cast("bigint").alias("d"), (11 + 2 * i).cast("bigint").alias("seq"), text_line.alias("line")))
-    srcs = docs.select("source").distinct()
-    parts.append(srcs.select("source", F.lit(-1).cast("bigint").alias("d"), F.lit(-2).cast("bigint").alias("seq"),
-                             F.concat(F.lit("commit "), F.col("source")).alias("line")))
-    parts.append(srcs.select("source", F.lit(-1).cast("bigint").alias("d"), F.lit(-1).cast("bigint").alias("seq"),
-                             F.lit("").alias("line")))
-    all_lines = parts[0]
-    for p in parts[1:]:
-        all_lines = all_lines.unionByName(p)
-    ordered = F.array_sort(F.collect_list(F.struct("d", "seq", "line")))
-    return all_lines.groupBy(F.col("source").alias("diff_id")).agg(
-        F.concat_ws("\n", F.transform(ordered, lambda x: x["line"])).alias("content"))
+    emitted = F.array_compact(F.array(
+        line(0, header, first),
+        line(1, index, first),
+        line(2, F.concat(F.lit("--- a/"), F.col("pa")), first & has_pm),
+        line(3, F.concat(F.lit("+++ b/"), F.col("pb")), first & has_pm),
+        line(4, binary, first & (k == 5)),
+        line(_TRAILER_SEQ, F.lit(""), first & (d % 2 == 0)),
+        line(10 + 2 * i, hunk, (k != 5) & (i % F.col("hl") == 0)),
+        line(11 + 2 * i, text_line, k != 5),
+    ))
+    lines = body.select("source", F.explode(emitted).alias("l"))
+    ordered = F.array_sort(F.collect_list("l"))
+    # each diff opens with a two-line preamble: "commit <source>" and an empty line
+    return lines.groupBy(F.col("source").alias("diff_id")).agg(
+        F.concat(F.lit("commit "), F.col("diff_id"), F.lit("\n\n"),
+                 F.concat_ws("\n", F.transform(ordered, lambda x: x["line"]))).alias("content"))
 
 
 def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
