@@ -23,9 +23,11 @@ def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
         "diff_id", "sec", "slot")
 
 
-def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, **kw) -> DataFrame:
+def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slots: DataFrame | None = None,
+                 **kw) -> DataFrame:
     """All chunks of the kept sections: ``CHUNK_COLUMNS`` (+ ``slot``, ``sub``)."""
-    slots = section_slots(kept, max_lines, **kw)
+    if slots is None:
+        slots = section_slots(kept, max_lines, **kw)
     s = kept.join(slots, ["diff_id", "sec"])
     small = s.where(F.col("n_lines") <= max_lines)
     big = s.where(F.col("n_lines") > max_lines)

@@ -31,6 +31,13 @@ class DiffCorpus:
         self.cache_kept = cache_kept
         self._persisted: list[DataFrame] = []
 
+    @classmethod
+    def from_files(cls, spark, path: str, options: LoadOptions | None = None, glob: str | None = "*.diff",
+                   **kw) -> "DiffCorpus":
+        """Load every diff file under ``path`` (one row per file, keyed by its path)."""
+        from patchloom.sources.files import read_diff_files
+        return cls(read_diff_files(spark, path, glob=glob), options, **kw)
+
     @cached_property
     def sections(self) -> DataFrame:
         return S.sections(self.diffs)
@@ -50,15 +57,23 @@ class DiffCorpus:
             self._persisted.append(k)
         return k
 
+    @cached_property
+    def slots(self) -> DataFrame:
+        """``(diff_id, sec, slot)``: packing runs once per corpus; the result is tiny."""
+        s = C.section_slots(self.kept, self.options.max_chunk_lines, max_fold_items=self.max_fold_items)
+        if self.cache_kept:
+            s = s.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(s)
+        return s
+
     @cached_property
     def chunks(self) -> DataFrame:
-        return C.build_chunks(self.kept, self.options.max_chunk_lines, max_fold_items=self.max_fold_items)
+        return C.build_chunks(self.kept, self.options.max_chunk_lines, slots=self.slots)
 
     @cached_property
     def chunk_meta(self) -> DataFrame:
-        """Chunks without content (content is never computed for metadata queries)."""
-        return C.build_chunks(self.kept, self.options.max_chunk_lines, with_content=False,
-                              max_fold_items=self.max_fold_items)
+        """Chunks without content: the same plan with ``content`` pruned by Catalyst."""
+        return self.chunks.drop("content")
 
     @cached_property
     def stats(self) -> DataFrame:
