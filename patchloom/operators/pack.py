@@ -49,22 +49,30 @@ def _fold_starts(items: Column, cap: float) -> Column:
 
 
 def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weight_col: str, cap: float,
-         slot_col: str = "slot", max_fold_items: int = DEFAULT_MAX_FOLD_ITEMS) -> DataFrame:
+         slot_col: str = "slot", max_fold_items: int = DEFAULT_MAX_FOLD_ITEMS,
+         unique_order: bool = False) -> DataFrame:
     """E1g: add ``slot_col`` (1-based, dense per group) to every row of ``df``.
 
-    ``order_cols`` must be unique inside a group. Weights must be non-negative.
+    Rows are packed in ``order_cols`` order; rows tying on the whole order key
+    are taken by ascending weight (a row number inside each exact key, so no
+    group is gathered for it). Pass ``unique_order=True`` when the order key is
+    known to be unique to skip that step. Weights must be non-negative.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
+    if not unique_order:
+        tie = Window.partitionBy(*group_cols, *order_cols).orderBy(F.col(weight_col))
+        df = df.withColumn("__dup", F.row_number().over(tie))
+        order_cols = order_cols + ["__dup"]
     keys = group_cols + order_cols
     slim = df.select(*keys, F.col(weight_col).alias("__w"))
     if max_fold_items is None:
-        return df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys)
+        return _finish(df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys))
     # one small aggregate decides which groups are too long to fold in one task
     sizes = slim.groupBy(*group_cols).agg(F.count("*").alias("__n"))
     hot_stats = sizes.where(F.col("__n") > max_fold_items).agg(
         F.count("*"), F.sum("__n"), F.max("__n")).first()
     if not hot_stats[0]:
-        return df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys)
+        return _finish(df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys))
     from patchloom.operators.pack_parallel import pack_parallel
     hot_keys = sizes.where(F.col("__n") > max_fold_items).select(*group_cols)
     small = slim.join(hot_keys, group_cols, "left_anti")
@@ -72,7 +80,11 @@ def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], we
     slots = _pack_fold(small, group_cols, order_cols, cap, slot_col).unionByName(
         pack_parallel(hot, group_cols, order_cols, "__w", cap, slot_col,
                       n_rows=int(hot_stats[1]), max_group=int(hot_stats[2])))
-    return df.join(slots, keys)
+    return _finish(df.join(slots, keys))
+
+
+def _finish(df: DataFrame) -> DataFrame:
+    return df.drop("__dup") if "__dup" in df.columns else df
 
 
 def _pack_fold(slim: DataFrame, group_cols, order_cols, cap, slot_col) -> DataFrame:

@@ -227,7 +227,7 @@ def pack_conversations(spark, sf_dir):
 
 
 @register("pack_lineitem", _pack_oracle("lineitem", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
-                                        "l_quantity", LINEITEM_CAP, "l_linenumber, l_partkey, l_suppkey"))
+                                        "l_quantity", LINEITEM_CAP, "l_linenumber, l_partkey, l_suppkey, l_quantity"))
 def pack_lineitem(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
