@@ -20,7 +20,7 @@ CHUNK_COLUMNS = ["diff_id", "chunk", "files", "lines", "parent_file", "sub_chunk
 def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
     """E1+E2: ``(diff_id, sec, slot)`` for kept sections; big sections sit alone."""
     return pack(kept.select("diff_id", "sec", "n_lines"), ["diff_id"], ["sec"], "n_lines", max_lines,
-                unique_order=True, **kw).select(
+                **kw).select(
         "diff_id", "sec", "slot")
 
 

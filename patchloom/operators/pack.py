@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_FOLD_ITEMS = 50_000
 
 
-def _fold_starts(items: Column, cap: float) -> Column:
+def _fold_starts(items: Column, weight: str, cap: float) -> Column:
     """Positions (1-based, in item order) where a slot starts."""
     capl = F.lit(cap)
 
     def step(s, x):
-        w = x["w"]
+        w = x[weight]
         big = w > capl
         new = (s["n"] == 0) | big | s["big"] | (s["cur"] + w > capl)
         return F.struct(
@@ -40,7 +40,7 @@ def _fold_starts(items: Column, cap: float) -> Column:
         )
 
     zero = F.struct(
-        (F.element_at(items, 1)["w"] * 0).alias("cur"),
+        (F.element_at(items, 1)[weight] * 0).alias("cur"),
         F.lit(False).alias("big"),
         F.lit(0).alias("n"),
         F.array().cast("array<int>").alias("starts"),
@@ -48,55 +48,51 @@ def _fold_starts(items: Column, cap: float) -> Column:
     return F.aggregate(items, zero, step, lambda s: s["starts"])
 
 
+def _slots_from_starts(starts: Column, n: Column) -> Column:
+    """[1,1,1,2,2,3,...]: slot number per position, built linearly from the start positions."""
+    k = F.sequence(F.lit(1), F.size(starts))
+    run = lambda i: F.coalesce(F.try_element_at(starts, i + 1), n + 1) - F.element_at(starts, i)
+    return F.flatten(F.transform(k, lambda i: F.array_repeat(i, run(i))))
+
+
 def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weight_col: str, cap: float,
-         slot_col: str = "slot", max_fold_items: int = DEFAULT_MAX_FOLD_ITEMS,
-         unique_order: bool = False) -> DataFrame:
-    """E1g: add ``slot_col`` (1-based, dense per group) to every row of ``df``.
-
-    Rows are packed in ``order_cols`` order; rows tying on the whole order key
-    are taken by ascending weight (a row number inside each exact key, so no
-    group is gathered for it). Pass ``unique_order=True`` when the order key is
-    known to be unique to skip that step. Weights must be non-negative.
+         slot_col: str = "slot", max_fold_items: int | None = DEFAULT_MAX_FOLD_ITEMS) -> DataFrame:
+    """E1g: every row of ``df`` with ``slot_col`` (1-based, dense per group) added.
+
+    Rows are packed in ``order_cols`` order; rows tying on the order key are
+    taken by ascending weight, then by the other columns (identical rows are
+    interchangeable). Weights must be non-negative; the non-group columns must
+    be orderable (no maps). Groups longer than ``max_fold_items`` are packed by
+    ``pack_parallel``; ``None`` folds every group.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    if not unique_order:
-        tie = Window.partitionBy(*group_cols, *order_cols).orderBy(F.col(weight_col))
-        df = df.withColumn("__dup", F.row_number().over(tie))
-        order_cols = order_cols + ["__dup"]
-    keys = group_cols + order_cols
-    slim = df.select(*keys, F.col(weight_col).alias("__w"))
     if max_fold_items is None:
-        return _finish(df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys))
+        return _pack_fold(df, group_cols, order_cols, weight_col, cap, slot_col)
     # one small aggregate decides which groups are too long to fold in one task
-    sizes = slim.groupBy(*group_cols).agg(F.count("*").alias("__n"))
-    hot_stats = sizes.where(F.col("__n") > max_fold_items).agg(
-        F.count("*"), F.sum("__n"), F.max("__n")).first()
+    sizes = df.groupBy(*group_cols).agg(F.count("*").alias("__n"))
+    hot_stats = sizes.where(F.col("__n") > max_fold_items).agg(F.count("*"), F.sum("__n"), F.max("__n")).first()
     if not hot_stats[0]:
-        return _finish(df.join(_pack_fold(slim, group_cols, order_cols, cap, slot_col), keys))
+        return _pack_fold(df, group_cols, order_cols, weight_col, cap, slot_col)
     from patchloom.operators.pack_parallel import pack_parallel
     hot_keys = sizes.where(F.col("__n") > max_fold_items).select(*group_cols)
-    small = slim.join(hot_keys, group_cols, "left_anti")
-    hot = slim.join(hot_keys, group_cols, "left_semi")
-    slots = _pack_fold(small, group_cols, order_cols, cap, slot_col).unionByName(
-        pack_parallel(hot, group_cols, order_cols, "__w", cap, slot_col,
-                      n_rows=int(hot_stats[1]), max_group=int(hot_stats[2])))
-    return _finish(df.join(slots, keys))
-
-
-def _finish(df: DataFrame) -> DataFrame:
-    return df.drop("__dup") if "__dup" in df.columns else df
-
-
-def _pack_fold(slim: DataFrame, group_cols, order_cols, cap, slot_col) -> DataFrame:
-    ords = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order_cols)]
-    items = F.array_sort(F.collect_list(F.struct(*ords, F.col("__w").alias("w"))))
-    g = slim.groupBy(*group_cols).agg(items.alias("__items"))
-    g = g.select(*group_cols, "__items", _fold_starts(F.col("__items"), cap).alias("__starts"))
-    exploded = g.select(*group_cols, F.posexplode("__items").alias("__pos", "__it"), "__starts")
-    # a start mark for each position; the slot is the running count of marks
-    marks = g.select(*group_cols, F.explode("__starts").alias("__pos")).withColumn("__m", F.lit(1))
-    exploded = exploded.select(*group_cols, (F.col("__pos") + 1).alias("__pos"),
-                               *[F.col("__it")[f"__o{i}"].alias(c) for i, c in enumerate(order_cols)])
-    j = exploded.join(marks, group_cols + ["__pos"], "left")
-    w = Window.partitionBy(*group_cols).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*group_cols, *order_cols, F.sum(F.coalesce("__m", F.lit(0))).over(w).cast("bigint").alias(slot_col))
+    if hot_stats[0] <= 100_000:  # at most 100k keys: a checked, small broadcast
+        hot_keys = F.broadcast(hot_keys)
+    small = df.join(hot_keys, group_cols, "left_anti")
+    hot = df.join(hot_keys, group_cols, "left_semi")
+    folded = _pack_fold(small, group_cols, order_cols, weight_col, cap, slot_col)
+    parallel = pack_parallel(hot, group_cols, order_cols, weight_col, cap, slot_col,
+                             n_rows=int(hot_stats[1]), max_group=int(hot_stats[2]))
+    return folded.unionByName(parallel.select(*folded.columns))
+
+
+def _pack_fold(df: DataFrame, group_cols, order_cols, weight_col, cap, slot_col) -> DataFrame:
+    """Whole rows of a group travel as one sorted array (bounded by ``max_fold_items``)."""
+    rest = [c for c in df.columns if c not in group_cols and c not in order_cols and c != weight_col]
+    fields = order_cols + ([weight_col] if weight_col not in order_cols else []) + rest
+    items = F.array_sort(F.collect_list(F.struct(*fields)))
+    g = df.groupBy(*group_cols).agg(items.alias("__items"))
+    g = g.select(*group_cols, "__items",
+                 _slots_from_starts(_fold_starts(F.col("__items"), weight_col, cap), F.size("__items")).alias("__slots"))
+    z = g.select(*group_cols, F.explode(F.arrays_zip("__items", "__slots")).alias("__z"))
+    return z.select(*group_cols, *[F.col("__z.__items")[c].alias(c) for c in fields],
+                    F.col("__z.__slots").cast("bigint").alias(slot_col)).select(*df.columns, slot_col)

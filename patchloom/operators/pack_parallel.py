@@ -69,11 +69,12 @@ def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, s
     nb = _blocks(n_rows, rows_per_block)
     capl = F.lit(cap)
 
-    # 1. positions and prefix sums
-    s = _ranged(df.select(*g, *order_cols, F.col(weight_col).alias("__w")), g, order_cols, nb)
+    # 1. positions and prefix sums (rows keep their payload; ties on the order key go by weight)
+    payload = [c for c in df.columns if c not in g]
+    s = _ranged(df.select("*", F.col(weight_col).alias("__w")), g, order_cols + ["__w"], nb)
     s = _running(s, g, "__blk", "__rid", F.lit(1), "__pos", "sum")
     s = _running(s, g, "__blk", "__rid", F.col("__w"), "__P", "sum")
-    items = s.select(*g, *order_cols, F.col("__pos").cast("bigint").alias("__pos"), "__w",
+    items = s.select(*g, *payload, F.col("__pos").cast("bigint").alias("__pos"), "__w",
                      (F.col("__P") - F.col("__w")).alias("__E")).checkpoint()
     totals = items.groupBy(*g).agg(F.max("__pos").alias("__N"), F.sum("__w").alias("__wsum"))
 
@@ -115,7 +116,7 @@ def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, s
 
     # 5. slot = running count of starts up to each position (blocks by position)
     marks = starts.withColumn("__m", F.lit(1))
-    it = items.select(*g, *order_cols, "__pos").join(marks, g + ["__pos"], "left")
+    it = items.select(*g, *payload, "__pos").join(marks, g + ["__pos"], "left")
     it = it.withColumn("__blk", F.floor((F.col("__pos") - 1) / F.lit(rows_per_block)))
     it = _running(it, g, "__blk", "__pos", F.coalesce("__m", F.lit(0)), slot_col, "sum")
-    return it.select(*g, *order_cols, F.col(slot_col).cast("bigint").alias(slot_col))
+    return it.select(*df.columns, F.col(slot_col).cast("bigint").alias(slot_col))

@@ -74,9 +74,9 @@ def content_keys(spark, sf_dir):
     return load_corpus(spark, sf_dir).select("diff_id", content_key("diff_id", "content").alias("key"))
 
 
-_REGISTRY_SQL = """
+_REGISTRY_SQL = r"""
 keys AS (SELECT diff_id, diff_id || '#' || substr(sha256(content), 1, 16) AS key,
-                CAST(substring(diff_id, 4) AS INTEGER) AS sn FROM diffs),
+                CAST(regexp_extract(diff_id, '^src(\d+)', 1) AS INTEGER) AS sn FROM diffs),
 registry AS (SELECT diff_id, key FROM keys WHERE sn % 2 = 0
              UNION ALL SELECT diff_id, diff_id || '#stale' FROM keys WHERE sn % 4 = 1)"""
 
@@ -87,7 +87,7 @@ def changed_diffs(spark, sf_dir):
     from patchloom.sources.files import changed
     d = load_corpus(spark, sf_dir)
     keys = d.select("diff_id", content_key("diff_id", "content").alias("key"),
-                    F.substring("diff_id", 4, 1 << 20).cast("int").alias("sn"))
+                    F.regexp_extract("diff_id", r"^src(\d+)", 1).cast("int").alias("sn"))
     registry = keys.where("sn % 2 = 0").select("diff_id", "key").unionByName(
         keys.where("sn % 4 = 1").select("diff_id", F.concat("diff_id", F.lit("#stale")).alias("key")))
     return changed(keys.select("diff_id", "key"), registry).select("diff_id")

@@ -8,25 +8,26 @@ Globs use DuckDB's own GLOB operator.
 
 from __future__ import annotations
 
-# one diff per documents.source; see patchloom.sources.corpus for the recipe
+# one diff per (documents.source, doc_id // 1000); see patchloom.sources.corpus for the recipe
 CORPUS = r"""
 doc_lines AS (
-  SELECT source, doc_id, lang, unnest(string_split(text, chr(10))) AS txt,
+  SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR) AS diff_id, source, doc_id, lang,
+         unnest(string_split(text, chr(10))) AS txt,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents
 ),
 body_in AS (
-  SELECT source, CASE WHEN lang = 'en' THEN 'en' ELSE CAST(doc_id AS VARCHAR) END AS skey, doc_id, pos, txt
+  SELECT diff_id, source, CASE WHEN lang = 'en' THEN 'en' ELSE CAST(doc_id AS VARCHAR) END AS skey, doc_id, pos, txt
   FROM doc_lines
 ),
 body AS (
-  SELECT source, skey, txt,
-         min(doc_id) OVER (PARTITION BY source, skey) AS d,
-         row_number() OVER (PARTITION BY source, skey ORDER BY doc_id, pos) - 1 AS i
+  SELECT diff_id, source, skey, txt,
+         min(doc_id) OVER (PARTITION BY diff_id, skey) AS d,
+         row_number() OVER (PARTITION BY diff_id, skey ORDER BY doc_id, pos) - 1 AS i
   FROM body_in
 ),
 fsec AS (
-  SELECT DISTINCT source, skey, d,
+  SELECT DISTINCT diff_id, source, skey, d,
          CASE WHEN skey = 'en' THEN 99 ELSE d % 12 END AS k,
          CAST(substring(source, 4) AS INTEGER) AS sn
   FROM body
@@ -47,25 +48,25 @@ fsecq AS (
   SELECT *, CASE WHEN k = 0 THEN 'src/new/f' || d || '.py' ELSE pa END AS pb FROM fsecp
 ),
 fx_lines AS (
-  SELECT source, -1 AS d, -2 AS seq, 'commit ' || source AS line FROM fsec GROUP BY source
-  UNION ALL SELECT source, -1, -1, '' FROM fsec GROUP BY source
-  UNION ALL SELECT source, d, 0, CASE WHEN k = 9 THEN 'diff --git "a/' || pa || '" "b/' || pb || '"'
+  SELECT diff_id, -1 AS d, -2 AS seq, 'commit ' || diff_id AS line FROM fsec GROUP BY diff_id
+  UNION ALL SELECT diff_id, -1, -1, '' FROM fsec GROUP BY diff_id
+  UNION ALL SELECT diff_id, d, 0, CASE WHEN k = 9 THEN 'diff --git "a/' || pa || '" "b/' || pb || '"'
                                  ELSE 'diff --git a/' || pa || ' b/' || pb END FROM fsecq
-  UNION ALL SELECT source, d, 1, 'index ' || lpad(CAST(d AS VARCHAR), 7, '0') || '..' || lpad(CAST(d + 1 AS VARCHAR), 7, '0') || ' 100644' FROM fsecq
-  UNION ALL SELECT source, d, 2, '--- a/' || pa FROM fsecq WHERE k NOT IN (5, 11)
-  UNION ALL SELECT source, d, 3, '+++ b/' || pb FROM fsecq WHERE k NOT IN (5, 11)
-  UNION ALL SELECT source, d, 4, 'Binary files a/' || pa || ' and b/' || pb || ' differ' FROM fsecq WHERE k = 5
-  UNION ALL SELECT b.source, b.d, 10 + 2 * b.i, '@@ -' || (b.i + 1) || ',' || s.hl || ' +' || (b.i + 1) || ',' || s.hl || ' @@'
-    FROM body b JOIN fsecq s USING (source, skey) WHERE s.k <> 5 AND b.i % s.hl = 0
-  UNION ALL SELECT b.source, b.d, 11 + 2 * b.i,
+  UNION ALL SELECT diff_id, d, 1, 'index ' || lpad(CAST(d AS VARCHAR), 7, '0') || '..' || lpad(CAST(d + 1 AS VARCHAR), 7, '0') || ' 100644' FROM fsecq
+  UNION ALL SELECT diff_id, d, 2, '--- a/' || pa FROM fsecq WHERE k NOT IN (5, 11)
+  UNION ALL SELECT diff_id, d, 3, '+++ b/' || pb FROM fsecq WHERE k NOT IN (5, 11)
+  UNION ALL SELECT diff_id, d, 4, 'Binary files a/' || pa || ' and b/' || pb || ' differ' FROM fsecq WHERE k = 5
+  UNION ALL SELECT b.diff_id, b.d, 10 + 2 * b.i, '@@ -' || (b.i + 1) || ',' || s.hl || ' +' || (b.i + 1) || ',' || s.hl || ' @@'
+    FROM body b JOIN fsecq s USING (diff_id, skey) WHERE s.k <> 5 AND b.i % s.hl = 0
+  UNION ALL SELECT b.diff_id, b.d, 11 + 2 * b.i,
     CASE WHEN s.k = 4 THEN (CASE WHEN b.i % 3 = 0 THEN '+  ' ELSE ' ' || b.txt END)
          WHEN b.i % 17 = 16 THEN '--- ' || b.txt
          ELSE (CASE b.i % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END) || (CASE WHEN b.i % 11 = 5 THEN '' ELSE b.txt END) END
-    FROM body b JOIN fsecq s USING (source, skey) WHERE s.k <> 5
-  UNION ALL SELECT source, d, 1000000000000, '' FROM fsecq WHERE d % 2 = 0
+    FROM body b JOIN fsecq s USING (diff_id, skey) WHERE s.k <> 5
+  UNION ALL SELECT diff_id, d, 1000000000000, '' FROM fsecq WHERE d % 2 = 0
 ),
 diffs AS (
-  SELECT source AS diff_id, string_agg(line, chr(10) ORDER BY d, seq) AS content FROM fx_lines GROUP BY source
+  SELECT diff_id, string_agg(line, chr(10) ORDER BY d, seq) AS content FROM fx_lines GROUP BY diff_id
 )"""
 
 # Python str.strip() whitespace, written out for RE2

@@ -1,6 +1,9 @@
 """A deterministic corpus of unified diffs derived from the ``documents`` table.
 
-One diff per ``source``. All English documents of a source form one large
+One diff per ``(source, doc_id div 1000)``, named ``<source>-<bucket>``, so a diff
+holds ~50 documents whatever the scale factor and the number of diffs grows
+with the data (below 1,000 documents this is one diff per source, as in
+FIXTURES.md section 3). All English documents of a diff form one large
 section (``src/big/<source>.c``); every other document is one section whose
 path kind is ``doc_id % 12`` (renames, generated files, binaries, trivial
 whitespace edits, quoted headers, paths containing " b/", short headers...).
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 # body lines use 10 + 2*i (hunk header) and 11 + 2*i (the line); the optional
 # trailing empty line comes last.
 _TRAILER_SEQ = 10**12
+DOCS_PER_DIFF = 1000
 
 
 def _path_a(k, d, source):
@@ -49,11 +53,12 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
     lines, and a section's first row also emits the section's header lines.
     """
     skey = F.when(F.col("lang") == "en", F.lit("en")).otherwise(F.col("doc_id").cast("string"))
-    body = documents.select("source", "doc_id", skey.alias("skey"),
+    diff_id = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / DOCS_PER_DIFF).cast("string"))
+    body = documents.select("source", diff_id.alias("diff_id"), "doc_id", skey.alias("skey"),
                             F.posexplode(F.split("text", "\n", -1)).alias("pos", "txt"))
-    by_sec = Window.partitionBy("source", "skey")
+    by_sec = Window.partitionBy("diff_id", "skey")
     body = body.select(
-        "source", "skey", "txt",
+        "source", "diff_id", "skey", "txt",
         F.min("doc_id").over(by_sec).alias("d"),
         (F.row_number().over(by_sec.orderBy("doc_id", "pos")) - 1).alias("i"),
     )
@@ -98,10 +103,10 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
         line(10 + 2 * i, hunk, (k != 5) & (i % F.col("hl") == 0)),
         line(11 + 2 * i, text_line, k != 5),
     ))
-    lines = body.select("source", F.explode(emitted).alias("l"))
+    lines = body.select("diff_id", F.explode(emitted).alias("l"))
     ordered = F.array_sort(F.collect_list("l"))
-    # each diff opens with a two-line preamble: "commit <source>" and an empty line
-    return lines.groupBy(F.col("source").alias("diff_id")).agg(
+    # each diff opens with a two-line preamble: "commit <diff_id>" and an empty line
+    return lines.groupBy("diff_id").agg(
         F.concat(F.lit("commit "), F.col("diff_id"), F.lit("\n\n"),
                  F.concat_ws("\n", F.transform(ordered, lambda x: x["line"]))).alias("content"))
 
