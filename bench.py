@@ -42,16 +42,52 @@ def main() -> None:
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         q["list_chunks"](spark, warm).collect()
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     times, rows = {}, {}
     for n in names:
-        t = time.perf_counter()
-        r = q[n](spark, sf_dir).collect()
-        times[n] = round(time.perf_counter() - t, 3)
-        rows[n] = len(r)
-        spark.catalog.clearCache()
+        best = None
+        for _ in range(runs):
+            t = time.perf_counter()
+            r = q[n](spark, sf_dir).collect()
+            el = time.perf_counter() - t
+            best = el if best is None else min(best, el)
+            rows[n] = len(r)
+            spark.catalog.clearCache()
+        times[n] = round(best, 3)
+    workflow = session_workflow(spark, sf_dir)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "rows": rows, "sf": sf, "cpus": cpus}))
+                      "queries": times, "rows": rows, "workflow": workflow, "sf": sf, "cpus": cpus,
+                      "runs_per_query": runs, "timing": "best of runs, plan + full collect, caches cleared"}))
+
+
+def session_workflow(spark, sf_dir: str) -> dict:
+    """The reference's own usage: load once (max 1000), then list / get / find on the loaded tables."""
+    from patchloom.options import LoadOptions
+    from patchloom.plans.corpus_plan import DiffCorpus
+    from patchloom.sources.corpus import load_corpus
+    from pyspark.sql import functions as F
+
+    out = {}
+    t = time.perf_counter()
+    corpus = DiffCorpus(load_corpus(spark, sf_dir), LoadOptions()).persist()
+    stats = corpus.stats.collect()
+    out["load"] = round(time.perf_counter() - t, 3)
+    out["lines_loaded"] = int(corpus.sections.agg(F.sum("n_raw")).first()[0])
+    t = time.perf_counter()
+    listing = corpus.list_chunks().collect()
+    out["list_chunks_after_load"] = round(time.perf_counter() - t, 3)
+    first = sorted(r.diff_id for r in stats)[0]
+    t = time.perf_counter()
+    corpus.get_chunk(first, 1).collect()
+    out["get_chunk_after_load"] = round(time.perf_counter() - t, 3)
+    t = time.perf_counter()
+    corpus.find_chunks("*.py").collect()
+    out["find_chunks_after_load"] = round(time.perf_counter() - t, 3)
+    out["chunks"] = len(listing)
+    corpus.unpersist()
+    spark.catalog.clearCache()
+    return out
 
 
 if __name__ == "__main__":

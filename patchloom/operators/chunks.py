@@ -32,14 +32,15 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
     s = kept.join(slots, ["diff_id", "sec"])
     small = s.where(F.col("n_lines") <= max_lines)
     big = s.where(F.col("n_lines") > max_lines)
-    ordered_texts = F.array_sort(F.collect_list(F.struct("sec", "text")))
-    ordered_files = F.array_sort(F.collect_list(F.struct("sec", "files")))
+    # sort_array + field projection: no lambdas, so these stay out of the interpreter
+    ordered_texts = F.sort_array(F.collect_list(F.struct("sec", "text")))
+    ordered_files = F.sort_array(F.collect_list(F.struct("sec", "files")))
     aggs = [
-        F.array_distinct(F.flatten(F.transform(ordered_files, lambda x: x["files"]))).alias("files"),
+        F.array_distinct(F.flatten(ordered_files.getField("files"))).alias("files"),
         F.sum("n_lines").cast("bigint").alias("lines"),
     ]
     if with_content:
-        aggs.append(F.concat_ws("\n\n", F.transform(ordered_texts, lambda x: x["text"])).alias("content"))
+        aggs.append(F.concat_ws("\n\n", ordered_texts.getField("text")).alias("content"))
     normal = small.groupBy("diff_id", "slot").agg(*aggs).select(
         "diff_id", "slot", F.lit(0).alias("sub"), "files", "lines",
         F.lit(None).cast("string").alias("parent_file"), F.lit(None).cast("int").alias("sub_chunk_index"),

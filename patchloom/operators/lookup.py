@@ -52,15 +52,16 @@ def patterns_table(spark, patterns) -> DataFrame:
     return spark.createDataFrame(rows, "pattern string, regex string, prefix string")
 
 
-def find_chunks_multi(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
-    """many globs at once. ``patterns(pattern, regex, prefix)`` is a request list;
-    only the distinct paths are matched against it, then joined back to chunks."""
-    cf = chunk_files(chunks)
-    paths = cf.select("path").distinct()
+def find_chunks_multi(chunks: DataFrame, patterns: DataFrame, max_patterns: int = 10_000) -> DataFrame:
+    """many globs at once. ``patterns(pattern, regex, prefix)`` is a request
+    list, broadcast after checking its size, and matched against every
+    (diff, path, chunk) row in place (no shuffle of the chunk-file rows)."""
+    n = patterns.count()
+    if n > max_patterns:
+        raise ValueError(f"{n} patterns: more than max_patterns={max_patterns} to broadcast")
     pat = F.broadcast(patterns.select("pattern", "regex", "prefix"))
     cond = F.expr("startswith(path, prefix) and path rlike regex")
-    hits = paths.join(pat, cond).select("path", "pattern")
-    return cf.join(hits, "path").select("diff_id", "pattern", "chunk").distinct()
+    return chunk_files(chunks).join(pat, cond).select("diff_id", "pattern", "chunk").distinct()
 
 
 def overview(stats: DataFrame) -> DataFrame:

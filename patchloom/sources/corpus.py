@@ -104,11 +104,11 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
         line(11 + 2 * i, text_line, k != 5),
     ))
     lines = body.select("diff_id", F.explode(emitted).alias("l"))
-    ordered = F.array_sort(F.collect_list("l"))
+    ordered = F.sort_array(F.collect_list("l"))
     # each diff opens with a two-line preamble: "commit <diff_id>" and an empty line
     return lines.groupBy("diff_id").agg(
         F.concat(F.lit("commit "), F.col("diff_id"), F.lit("\n\n"),
-                 F.concat_ws("\n", F.transform(ordered, lambda x: x["line"]))).alias("content"))
+                 F.concat_ws("\n", ordered.getField("line"))).alias("content"))
 
 
 def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
