@@ -34,10 +34,27 @@ def decode_files(raw: DataFrame) -> DataFrame:
     )
 
 
+def check_path(spark: SparkSession, path: str) -> str:
+    """G1/G2 on the driver: non-blank path that exists (a file or a folder of files)."""
+    if not isinstance(path, str) or not path.strip():
+        raise ValueError("absolute_file_path must be a non-empty string")
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        raise ValueError(f"Diff file not found: {path}")
+    return path
+
+
 def read_diff_files(spark: SparkSession, path: str, glob: str | None = "*.diff",
                     recursive: bool = False, partitions: int | None = None) -> DataFrame:
-    """A1: read every diff file under ``path``; the result is hash-partitioned by ``diff_id``
-    so all per-diff operators downstream reuse that single exchange."""
+    """A1: read every diff file under ``path`` (a file or a folder); the result is
+    hash-partitioned by ``diff_id`` so per-diff operators downstream reuse that exchange."""
+    check_path(spark, path)
+    if glob and not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+            spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(
+            spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).isDirectory():
+        glob = None  # a single named file is read whatever its extension
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)

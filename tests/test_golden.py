@@ -178,3 +178,17 @@ def test_validation():
     with pytest.raises(ValueError):
         check_pattern("  ")
     assert LoadOptions.from_strings(include_patterns=" *.py, ,src/* ").include_patterns == ("*.py", "src/*")
+
+
+def test_g2_missing_path(spark, tmp_path):
+    with pytest.raises(ValueError, match="Diff file not found"):
+        DiffCorpus.from_files(spark, str(tmp_path / "nope.diff"))
+    with pytest.raises(ValueError, match="non-empty"):
+        DiffCorpus.from_files(spark, "  ")
+
+
+def test_single_named_file(spark, tmp_path):
+    f = tmp_path / "change.patch"
+    f.write_text(text(sec("a.py", ["-x", "+y"])))
+    c = DiffCorpus.from_files(spark, str(f))
+    assert stats(c, c.diffs.collect()[0].diff_id) == (1, 1, 7)
