@@ -24,8 +24,11 @@ def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
         "diff_id", "sec", "slot")
 
 
+SLOTS_PER_BLOCK = 100_000
+
+
 def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slots: DataFrame | None = None,
-                 **kw) -> DataFrame:
+                 giant: bool = False, **kw) -> DataFrame:
     """All chunks of the kept sections: ``CHUNK_COLUMNS`` (+ ``slot``, ``sub``)."""
     if slots is None:
         slots = section_slots(kept, max_lines, **kw)
@@ -49,6 +52,14 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
         "diff_id", "slot", "sub", "files", "lines", "parent_file", "sub_chunk_index",
         *(["content"] if with_content else []))
     allc = normal.unionByName(pieces)
+    if giant:
+        # number slim (slot, sub) rows in slot blocks, then join the numbers back:
+        # no task ever holds all chunks (or their content) of one diff
+        from patchloom.operators.pack_parallel import running_count
+        keys = allc.select("diff_id", "slot", "sub")
+        nums = running_count(keys, ["diff_id"], F.floor(F.col("slot") / SLOTS_PER_BLOCK), ["slot", "sub"], "chunk")
+        return allc.join(nums.select("diff_id", "slot", "sub", F.col("chunk").cast("bigint").alias("chunk")),
+                         ["diff_id", "slot", "sub"])
     num = F.row_number().over(Window.partitionBy("diff_id").orderBy("slot", "sub")).cast("bigint")
     return allc.withColumn("chunk", num)
 

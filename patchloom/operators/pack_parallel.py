@@ -41,15 +41,19 @@ def _ranged(df: DataFrame, group_cols, order_cols, n_blocks: int) -> DataFrame:
     return s.checkpoint()
 
 
-def _running(s: DataFrame, group_cols, block_col: str, order_col: str, value: Column, out: str, how: str) -> DataFrame:
-    """Two-level inclusive running ``sum`` / ``max`` of ``value`` per group along (block, order)."""
+def _running(s: DataFrame, group_cols, block_col: str, order_col, value: Column, out: str, how: str) -> DataFrame:
+    """Two-level inclusive running ``sum`` / ``max`` of ``value`` per group along (block, order).
+
+    ``order_col`` is a column name or a list of them; blocks must be ordered
+    consistently with it inside each group."""
     agg = F.sum if how == "sum" else F.max
     s = s.withColumn("__rv", value)
     tot = s.groupBy(*group_cols, block_col).agg(agg("__rv").alias("__t"))
     before = Window.partitionBy(*group_cols).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select(*group_cols, block_col, agg("__t").over(before).alias("__carry"))
     s = s.join(carry, list(group_cols) + [block_col])
-    upto = Window.partitionBy(*group_cols, block_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    upto = Window.partitionBy(*group_cols, block_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = agg("__rv").over(upto)
     if how == "sum":
         res = F.coalesce("__carry", F.lit(0)) + inner
@@ -58,6 +62,14 @@ def _running(s: DataFrame, group_cols, block_col: str, order_col: str, value: Co
     return s.withColumn(out, res).drop("__rv", "__carry")
 
 
+def running_count(df: DataFrame, group_cols, block: Column, order_cols, out: str) -> DataFrame:
+    """1-based position of every row in (order_cols) order per group, without a
+    window over a whole group: ``block`` must be monotone in the order."""
+    s = df.withColumn("__blk", block)
+    s = _running(s, list(group_cols), "__blk", list(order_cols), F.lit(1), out, "sum")
+    return s.drop("__blk")
+
+
 def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, slot_col: str = "slot",
                   rows_per_block: int = ROWS_PER_BLOCK, n_rows: int | None = None,
                   max_group: int | None = None) -> DataFrame:

@@ -292,6 +292,14 @@ def list_chunks(spark, sf_dir):
     return _list(corpus(spark, sf_dir, max_chunk_lines=MAIN_MAX))
 
 
+@register("list_chunks_lines", O.chunks_sql(MAIN_MAX, _LIST_SQL))
+def list_chunks_lines(spark, sf_dir):
+    """The same listing through the line-table path (giant-diff regime)."""
+    from patchloom.operators.line_table import LineDiffCorpus, lines_from_diffs
+    lc = LineDiffCorpus(lines_from_diffs(load_corpus(spark, sf_dir)), LoadOptions(max_chunk_lines=MAIN_MAX))
+    return _list(lc)
+
+
 @register("list_chunks_100", O.chunks_sql(SMALL_MAX, _LIST_SQL))
 def list_chunks_100(spark, sf_dir):
     return _list(corpus(spark, sf_dir, max_chunk_lines=SMALL_MAX))

@@ -29,6 +29,7 @@ class DiffCorpus:
         self.options = options or LoadOptions()
         self.max_fold_items = max_fold_items
         self.cache_kept = cache_kept
+        self.giant = False
         self._persisted: list[DataFrame] = []
 
     @classmethod
@@ -68,7 +69,7 @@ class DiffCorpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return C.build_chunks(self.kept, self.options.max_chunk_lines, slots=self.slots)
+        return C.build_chunks(self.kept, self.options.max_chunk_lines, slots=self.slots, giant=self.giant)
 
     @cached_property
     def chunk_meta(self) -> DataFrame:
