@@ -28,8 +28,11 @@ SLOTS_PER_BLOCK = 100_000
 
 
 def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slots: DataFrame | None = None,
-                 giant: bool = False, **kw) -> DataFrame:
-    """All chunks of the kept sections: ``CHUNK_COLUMNS`` (+ ``slot``, ``sub``)."""
+                 giant: bool = False, extra_pieces: DataFrame | None = None, **kw) -> DataFrame:
+    """All chunks of the kept sections: ``CHUNK_COLUMNS`` (+ ``slot``, ``sub``).
+
+    ``extra_pieces`` are pieces of oversized sections split elsewhere (rows
+    shaped like ``split_oversized`` output; their sections are not in ``kept``)."""
     if slots is None:
         slots = section_slots(kept, max_lines, **kw)
     s = kept.join(slots, ["diff_id", "sec"])
@@ -48,7 +51,10 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
         "diff_id", "slot", F.lit(0).alias("sub"), "files", "lines",
         F.lit(None).cast("string").alias("parent_file"), F.lit(None).cast("int").alias("sub_chunk_index"),
         *(["content"] if with_content else []))
-    pieces = split_oversized(big, max_lines).join(slots, ["diff_id", "sec"]).select(
+    split = split_oversized(big, max_lines)
+    if extra_pieces is not None:
+        split = split.unionByName(extra_pieces.select(*split.columns))
+    pieces = split.join(slots, ["diff_id", "sec"]).select(
         "diff_id", "slot", "sub", "files", "lines", "parent_file", "sub_chunk_index",
         *(["content"] if with_content else []))
     allc = normal.unionByName(pieces)

@@ -13,8 +13,9 @@ rows of lines:
    is pre-aggregated in every task before the shuffle);
 3. ``section_texts``: the text of each *kept* section, gathered per section.
    A kept section is bounded: at most ``max`` nonblank lines, or, if
-   oversized, at most ``max_section_lines`` lines (checked; larger sections
-   need the parallel split, which is not built yet, and are reported).
+   oversized, at most ``max_section_lines`` lines (checked). Longer oversized
+   sections are split in parallel (``split_parallel``) and their pieces are
+   assembled per piece, so they are never gathered whole.
 
 The resulting kept-section rows have the same columns as the row path, so
 packing, splitting and chunk assembly are shared (``LineDiffCorpus``).
@@ -147,18 +148,78 @@ class LineDiffCorpus(DiffCorpus):
     def filtered(self) -> DataFrame:
         return FL.with_filters(self.facts, self.options)
 
+    @cached_property
+    def kept_facts(self) -> DataFrame:
+        k = self.filtered.where(F.col("drop_reason").isNull()).drop("drop_reason")
+        if self.cache_kept:
+            k = k.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(k)
+        return k
+
+    def _is_giant(self) -> F.Column:
+        return ((F.col("n_lines") > self.options.max_chunk_lines) & (F.col("n_raw") > self.max_section_lines)
+                & F.col("header_len").isNotNull())
+
+    @cached_property
+    def slots(self) -> DataFrame:
+        from patchloom.operators import chunks as C
+        s = C.section_slots(self.kept_facts, self.options.max_chunk_lines, max_fold_items=self.max_fold_items)
+        if self.cache_kept:
+            s = s.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(s)
+        return s
+
     @cached_property
     def kept(self) -> DataFrame:
-        facts = self.filtered.where(F.col("drop_reason").isNull()).drop("drop_reason")
-        m = self.options.max_chunk_lines
-        too_big = facts.where((F.col("n_lines") > m) & (F.col("n_raw") > self.max_section_lines)).limit(1).collect()
-        if too_big:
-            r = too_big[0]
-            raise NotImplementedError(
-                f"section {r.sec} of {r.diff_id} has {r.n_raw} lines (> max_section_lines="
-                f"{self.max_section_lines}); the parallel hunk split for such sections is not built")
+        """Kept sections with text, except the giant oversized ones (split in parallel)."""
+        facts = self.kept_facts.where(~self._is_giant())
         k = facts.join(section_texts(self.numbered, facts), ["diff_id", "sec"])
         if self.cache_kept:
             k = k.persist(StorageLevel.MEMORY_AND_DISK)
             self._persisted.append(k)
         return k
+
+    @cached_property
+    def giant_pieces(self) -> DataFrame | None:
+        giant = self.kept_facts.where(self._is_giant())
+        if not giant.limit(1).collect():
+            return None
+        return split_giant(self.numbered, giant, self.options.max_chunk_lines)
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        from patchloom.operators import chunks as C
+        return C.build_chunks(self.kept, self.options.max_chunk_lines, slots=self.slots, giant=True,
+                              extra_pieces=self.giant_pieces)
+
+
+def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
+    """Pieces (``split_oversized`` columns) of oversized sections too long to gather."""
+    from patchloom.operators.split_parallel import cut_starts, pieces_of
+    g = ["diff_id", "sec"]
+    meta = giant.select(*g, "files", "header_len", "n_raw")
+    lines = nl.join(meta, g)
+    body = lines.where(F.col("i") >= F.col("header_len")).select(
+        *g, (F.col("i") - F.col("header_len")).alias("bi"), F.col("header_len").alias("h"),
+        (F.col("n_raw") - F.col("header_len")).alias("n"), T.is_hunk("line").alias("hk"),
+        T.is_nonblank("line").alias("nb"), "i", "line")
+    starts, edges = cut_starts(body.select(*g, "bi", "h", "n", "hk", "nb"), max_lines)
+    bad = edges.limit(1).collect()
+    if bad:
+        raise NotImplementedError(
+            f"section {bad[0].sec} of {bad[0].diff_id}: a back-track leaves the next piece full, which the "
+            "parallel split does not resolve; raise max_section_lines to fold it")
+    bp = pieces_of(body, starts).select(*g, "piece", "i", "line")
+    pieces = bp.select(*g, "piece").distinct()
+    head = lines.where(F.col("i") < F.col("header_len")).select(*g, "i", "line").join(pieces, g)
+    allp = bp.unionByName(head.select(*g, "piece", "i", "line"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "line")))
+    agg = allp.groupBy(*g, "piece").agg(F.concat_ws("\n", ordered.getField("line")).alias("content"),
+                                        F.count_if(T.is_nonblank("line")).cast("bigint").alias("lines"))
+    npieces = pieces.groupBy(*g).agg(F.max("piece").alias("pieces"))
+    out = agg.join(npieces, g).join(meta, g)
+    parent = F.when(F.size("files") == 1, F.element_at("files", 1)).otherwise(
+        F.concat(F.size("files").cast("string"), F.lit(" files")))
+    return out.select(*g, F.col("piece").cast("int").alias("sub"), F.col("pieces").cast("int").alias("pieces"),
+                      "files", "lines", parent.alias("parent_file"),
+                      F.when(F.col("pieces") > 1, F.col("piece")).cast("int").alias("sub_chunk_index"), "content")

@@ -70,6 +70,31 @@ def running_count(df: DataFrame, group_cols, block: Column, order_cols, out: str
     return s.drop("__blk")
 
 
+def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int) -> DataFrame:
+    """Positions reachable from ``first(group, __pos)`` by following ``jump(group, __pos, __nx, __N)``
+    (``__nx > __pos``; ``__nx > __N`` means past the end), found with log2(max_steps)
+    pointer-doubling joins - each a checkpointed, evenly keyed equi-join."""
+    g = list(group_cols)
+    levels = [jump]
+    k_max = max(1, math.ceil(math.log2(max_steps + 1)))
+    for _ in range(1, k_max):
+        prev = levels[-1]
+        hop = prev.select(*g, F.col("__pos").alias("__mid"), F.col("__nx").alias("__nx2"))
+        on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in g), F.col("a.__nx") == F.col("b.__mid")]
+        nxt_level = prev.alias("a").join(hop.alias("b"), on, "left").select(
+            *(F.col(f"a.{c}") for c in g), F.col("a.__pos").alias("__pos"),
+            F.coalesce(F.col("b.__nx2"), F.col("a.__nx")).alias("__nx"), F.col("a.__N").alias("__N"))
+        levels.append(nxt_level.checkpoint())
+    starts = first.select(*g, "__pos")
+    for lv in levels:
+        step = starts.alias("s").join(lv.alias("l"), [*(F.col(f"s.{c}") == F.col(f"l.{c}") for c in g),
+                                                      F.col("s.__pos") == F.col("l.__pos")])
+        step = step.where(F.col("l.__nx") <= F.col("l.__N")).select(*(F.col(f"s.{c}") for c in g),
+                                                                   F.col("l.__nx").alias("__pos"))
+        starts = starts.unionByName(step).checkpoint()
+    return starts
+
+
 def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, slot_col: str = "slot",
                   rows_per_block: int = ROWS_PER_BLOCK, n_rows: int | None = None,
                   max_group: int | None = None) -> DataFrame:
@@ -105,26 +130,8 @@ def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, s
                .otherwise(F.col("__j")))
     jump = nxt.select(*g, "__pos", nxt_col.cast("bigint").alias("__nx"), "__N").checkpoint()
 
-    # 3. pointer doubling
-    levels = [jump]
-    k_max = max(1, math.ceil(math.log2(max_group + 1)))
-    for _ in range(1, k_max):
-        prev = levels[-1]
-        hop = prev.select(*g, F.col("__pos").alias("__mid"), F.col("__nx").alias("__nx2"))
-        on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in g), F.col("a.__nx") == F.col("b.__mid")]
-        nxt_level = prev.alias("a").join(hop.alias("b"), on, "left").select(
-            *(F.col(f"a.{c}") for c in g), F.col("a.__pos").alias("__pos"),
-            F.coalesce(F.col("b.__nx2"), F.col("a.__nx")).alias("__nx"), F.col("a.__N").alias("__N"))
-        levels.append(nxt_level.checkpoint())
-
-    # 4. slot starts reachable from position 1
-    starts = totals.select(*g, F.lit(1).cast("bigint").alias("__pos"))
-    for lv in levels:
-        step = starts.alias("s").join(lv.alias("l"), [*(F.col(f"s.{c}") == F.col(f"l.{c}") for c in g),
-                                                      F.col("s.__pos") == F.col("l.__pos")])
-        step = step.where(F.col("l.__nx") <= F.col("l.__N")).select(*(F.col(f"s.{c}") for c in g),
-                                                                   F.col("l.__nx").alias("__pos"))
-        starts = starts.unionByName(step).checkpoint()
+    # 3-4. pointer doubling, then the slot starts reachable from position 1
+    starts = reachable(jump, g, totals.select(*g, F.lit(1).cast("bigint").alias("__pos")), max_group)
 
     # 5. slot = running count of starts up to each position (blocks by position)
     marks = starts.withColumn("__m", F.lit(1))

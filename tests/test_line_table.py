@@ -31,3 +31,30 @@ def test_line_path_equals_row_path(spark, tmp_path):
         assert all(r[1] == 0 and r[2] == r[3] - 1 for r in per)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_giant_sections_split_in_parallel(spark, make_diffs):
+    """Force every oversized section through the parallel split; results equal the fold."""
+    from patchloom.operators.line_table import lines_from_diffs
+    diffs = load_corpus(spark, "/root/testdata/sf0.001")
+    for m in (20, 40):
+        opts = LoadOptions(max_chunk_lines=m)
+        lc = LineDiffCorpus(lines_from_diffs(diffs), opts, max_section_lines=0)
+        assert lc.giant_pieces is not None
+        got = lc.chunks.select("diff_id", "chunk", "lines", "parent_file", "sub_chunk_index", F.md5("content"))
+        want = DiffCorpus(diffs, opts).chunks.select("diff_id", "chunk", "lines", "parent_file", "sub_chunk_index",
+                                                     F.md5("content"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_parallel_split_edge_is_reported(spark, make_diffs):
+    import pytest
+    from patchloom.operators.line_table import lines_from_diffs
+    head = ["diff --git a/e.c b/e.c", "index 1..2 100644", "--- a/e.c", "+++ b/e.c"]
+    body = ["@@ -1 +1 @@", "+a", "+b", "+c", "+d", "+e", "", "", "@@ -9 +9 @@", "+f", "+g", "+h", "+i", "+j", "+k"]
+    d = make_diffs(e="\n".join(head + body))
+    lc = LineDiffCorpus(lines_from_diffs(d), LoadOptions(max_chunk_lines=10), max_section_lines=0)
+    with pytest.raises(NotImplementedError):
+        lc.chunks.count()
+    # the row path folds it
+    assert DiffCorpus(d, LoadOptions(max_chunk_lines=10)).chunks.count() > 1
