@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.session import ensure_checkpoint_dir
+
 ROWS_PER_BLOCK = 1_000_000
 
 
@@ -36,6 +38,7 @@ def _blocks(n_rows: int, rows_per_block: int) -> int:
 
 def _ranged(df: DataFrame, group_cols, order_cols, n_blocks: int) -> DataFrame:
     """Sort globally by (group, order); tag each row with its block and in-block id; pin it."""
+    ensure_checkpoint_dir(df.sparkSession)
     s = df.repartitionByRange(n_blocks, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
     s = s.withColumn("__blk", F.spark_partition_id()).withColumn("__rid", F.monotonically_increasing_id())
     return s.checkpoint()
@@ -75,6 +78,7 @@ def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int) ->
     (``__nx > __pos``; ``__nx > __N`` means past the end), found with log2(max_steps)
     pointer-doubling joins - each a checkpointed, evenly keyed equi-join."""
     g = list(group_cols)
+    ensure_checkpoint_dir(jump.sparkSession)
     levels = [jump]
     k_max = max(1, math.ceil(math.log2(max_steps + 1)))
     for _ in range(1, k_max):

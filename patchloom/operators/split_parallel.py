@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
 from patchloom.operators.pack_parallel import _running, reachable
+from patchloom.session import ensure_checkpoint_dir
 
 LINES_PER_BLOCK = 1_000_000
 
@@ -38,6 +39,7 @@ LINES_PER_BLOCK = 1_000_000
 def cut_starts(body: DataFrame, max_lines: int, lines_per_block: int = LINES_PER_BLOCK):
     """``body(diff_id, sec, bi, h, n, hk, nb)`` -> (starts(diff_id, sec, __pos), edge sections(diff_id, sec))."""
     g = ["diff_id", "sec"]
+    ensure_checkpoint_dir(body.sparkSession)
     target = max(max_lines * 0.8, 200.0)
     b = body.withColumn("__blk", F.floor(F.col("bi") / lines_per_block))
     b = _running(b, g, "__blk", "bi", F.col("nb").cast("long"), "__pi", "sum")            # P(j+1)
