@@ -34,8 +34,13 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
     ``extra_pieces`` are pieces of oversized sections split elsewhere (rows
     shaped like ``split_oversized`` output; their sections are not in ``kept``)."""
     if slots is None:
-        slots = section_slots(kept, max_lines, **kw)
-    s = kept.join(slots, ["diff_id", "sec"])
+        # row regime: the kept rows (text included) go through the fold themselves,
+        # so each section comes back with its slot inside the diff's partition -
+        # no join, and no exchange after the one that partitioned the diffs
+        s = pack(kept, ["diff_id"], ["sec"], "n_lines", max_lines, **kw)
+        slots = s.select("diff_id", "sec", "slot")
+    else:
+        s = kept.join(slots, ["diff_id", "sec"])
     small = s.where(F.col("n_lines") <= max_lines)
     big = s.where(F.col("n_lines") > max_lines)
     # sort_array + field projection: no lambdas, so these stay out of the interpreter
@@ -51,10 +56,10 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
         "diff_id", "slot", F.lit(0).alias("sub"), "files", "lines",
         F.lit(None).cast("string").alias("parent_file"), F.lit(None).cast("int").alias("sub_chunk_index"),
         *(["content"] if with_content else []))
-    split = split_oversized(big, max_lines)
+    split = split_oversized(big, max_lines, keep=["slot"])
     if extra_pieces is not None:
-        split = split.unionByName(extra_pieces.select(*split.columns))
-    pieces = split.join(slots, ["diff_id", "sec"]).select(
+        split = split.unionByName(extra_pieces.join(slots, ["diff_id", "sec"]).select(*split.columns))
+    pieces = split.select(
         "diff_id", "slot", "sub", "files", "lines", "parent_file", "sub_chunk_index",
         *(["content"] if with_content else []))
     allc = normal.unionByName(pieces)

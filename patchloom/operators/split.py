@@ -63,14 +63,15 @@ def _cuts(body: Column, H: Column, max_lines: int) -> Column:
     return F.aggregate(idx, zero, step, lambda s: s["cuts"])
 
 
-def split_oversized(big: DataFrame, max_lines: int) -> DataFrame:
+def split_oversized(big: DataFrame, max_lines: int, keep=()) -> DataFrame:
     """``big``: sections with ``n_lines > max_lines`` (columns of ``sections``).
 
     Returns one row per piece: diff_id, sec, sub (1-based), pieces, files,
     lines, parent_file, sub_chunk_index, content.
     """
     lines = T.split_lines("text")
-    b = big.select("diff_id", "sec", "files", "n_lines", "header_len", "text", lines.alias("__lines"))
+    keep = list(keep)
+    b = big.select("diff_id", "sec", *keep, "files", "n_lines", "header_len", "text", lines.alias("__lines"))
     H = F.col("header_len")
     body = F.slice("__lines", H + 1, F.size("__lines") - H)
     b = b.withColumn("__body", F.when(H.isNotNull(), body))
@@ -92,7 +93,7 @@ def split_oversized(big: DataFrame, max_lines: int) -> DataFrame:
     parent = F.when(F.size("files") == 1, F.element_at("files", 1)).otherwise(
         F.concat(F.size("files").cast("string"), F.lit(" files")))
     return b.select(
-        "diff_id", "sec", F.col("sub").cast("int").alias("sub"), F.col("__np").cast("int").alias("pieces"),
+        "diff_id", "sec", *keep, F.col("sub").cast("int").alias("sub"), F.col("__np").cast("int").alias("pieces"),
         "files",
         F.when(H.isNull(), F.col("n_lines")).otherwise(nonblank_count(head) + nonblank_count(piece)).cast("bigint").alias("lines"),
         parent.alias("parent_file"),
