@@ -94,8 +94,12 @@ def file_chunk_index(chunks: DataFrame) -> DataFrame:
 
 
 def diff_stats(chunks: DataFrame) -> DataFrame:
-    """Distinct paths, sum of chunk lines, chunk count per diff."""
-    paths = chunk_files(chunks).groupBy("diff_id").agg(F.count_distinct("path").cast("bigint").alias("total_files"))
-    sizes = chunks.groupBy("diff_id").agg(F.sum("lines").cast("bigint").alias("total_lines"),
-                                          F.count("*").cast("bigint").alias("chunks_count"))
-    return sizes.join(paths, "diff_id")
+    """Distinct paths, sum of chunk lines, chunk count per diff - one aggregate
+    over (chunk, file) rows; a chunk's lines and count are taken from its first file."""
+    cf = chunks.select("diff_id", "lines", F.posexplode("files").alias("__k", "path"))
+    first = F.col("__k") == 0
+    return cf.groupBy("diff_id").agg(
+        F.sum(F.when(first, F.col("lines"))).cast("bigint").alias("total_lines"),
+        F.count_if(first).cast("bigint").alias("chunks_count"),
+        F.count_distinct("path").cast("bigint").alias("total_files"),
+    )

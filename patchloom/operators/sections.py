@@ -69,10 +69,11 @@ def sections(diffs: DataFrame) -> DataFrame:
     )
 
 
-def section_lines(secs: DataFrame) -> DataFrame:
-    """``(diff_id, sec, i, line)``: the lines of each section, ``i`` 0-based inside the section."""
-    return secs.select("diff_id", "sec", F.posexplode(T.split_lines("text")).alias("i", "line")).select(
-        "diff_id", "sec", F.col("i").cast("bigint").alias("i"), "line")
+def section_lines(secs: DataFrame, carry=()) -> DataFrame:
+    """``(diff_id, sec, *carry, i, line)``: the lines of each section, ``i`` 0-based inside it."""
+    carry = list(carry)
+    return secs.select("diff_id", "sec", *carry, F.posexplode(T.split_lines("text")).alias("i", "line")).select(
+        "diff_id", "sec", *carry, F.col("i").cast("bigint").alias("i"), "line")
 
 
 def hunks(secs: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def line_kind_counts(diffs: DataFrame) -> DataFrame:
 
 def diffstat(secs: DataFrame) -> DataFrame:
     """H2: added / removed lines per (diff, path) (metadata '+++'/'---' lines excluded)."""
-    lk = section_lines(secs).join(secs.select("diff_id", "sec", "path_b"), ["diff_id", "sec"])
+    lk = section_lines(secs, carry=["path_b"])
     kind = T.line_kind("line")
     return lk.groupBy("diff_id", F.col("path_b").alias("path")).agg(
         F.count_if(kind == "add").cast("bigint").alias("added"),
