@@ -105,11 +105,31 @@ def section_facts(nl: DataFrame) -> DataFrame:
                     T.is_generated("path_a", "path_b").alias("is_generated"))
 
 
-def section_texts(nl: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(diff_id, sec, text)`` for the sections in ``keys(diff_id, sec)``."""
-    lines = nl.join(keys.select("diff_id", "sec"), ["diff_id", "sec"], "left_semi")
+LARGE_SECTION = 100_000
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def _small_keys(df: DataFrame) -> DataFrame:
+    """Broadcast a key set whose size was checked; otherwise leave it to the planner."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
+
+
+def section_texts(nl: DataFrame, facts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(diff_id, sec, text)`` for the sections in ``keys(diff_id, sec)`` (a subset of ``facts``).
+
+    Lines of sections longer than ``LARGE_SECTION`` (few: at most lines /
+    LARGE_SECTION of them) are first removed with a broadcast anti-join, so the
+    shuffle by section never receives a giant or dropped huge section; the
+    large sections that are wanted are gathered through a broadcast semi-join.
+    """
+    g = ["diff_id", "sec"]
+    large = _small_keys(facts.where(F.col("n_raw") > LARGE_SECTION).select(*g))
+    small_lines = nl.join(large, g, "left_anti").join(keys.select(*g), g, "left_semi")
+    wanted_large = keys.select(*g).join(large, g, "left_semi")
+    large_lines = nl.join(_small_keys(wanted_large), g, "left_semi")
+    lines = small_lines.unionByName(large_lines)
     ordered = F.sort_array(F.collect_list(F.struct("i", "line")))
-    return lines.groupBy("diff_id", "sec").agg(F.concat_ws("\n", ordered.getField("line")).alias("text"))
+    return lines.groupBy(*g).agg(F.concat_ws("\n", ordered.getField("line")).alias("text"))
 
 
 class LineDiffCorpus(DiffCorpus):
@@ -142,7 +162,7 @@ class LineDiffCorpus(DiffCorpus):
     @cached_property
     def sections(self) -> DataFrame:
         """All sections with their text (use ``facts`` when the text is not needed)."""
-        return self.facts.join(section_texts(self.numbered, self.facts), ["diff_id", "sec"])
+        return self.facts.join(section_texts(self.numbered, self.facts, self.facts), ["diff_id", "sec"])
 
     @cached_property
     def filtered(self) -> DataFrame:
@@ -173,7 +193,7 @@ class LineDiffCorpus(DiffCorpus):
     def kept(self) -> DataFrame:
         """Kept sections with text, except the giant oversized ones (split in parallel)."""
         facts = self.kept_facts.where(~self._is_giant())
-        k = facts.join(section_texts(self.numbered, facts), ["diff_id", "sec"])
+        k = facts.join(section_texts(self.numbered, self.facts, facts), ["diff_id", "sec"])
         if self.cache_kept:
             k = k.persist(StorageLevel.MEMORY_AND_DISK)
             self._persisted.append(k)
@@ -197,7 +217,9 @@ def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
     """Pieces (``split_oversized`` columns) of oversized sections too long to gather."""
     from patchloom.operators.split_parallel import cut_starts, pieces_of
     g = ["diff_id", "sec"]
-    meta = giant.select(*g, "files", "header_len", "n_raw")
+    # giant sections are few (each has > max_section_lines lines): broadcast their
+    # metadata, so no step keys a giant section's lines by the section alone
+    meta = _small_keys(giant.select(*g, "files", "header_len", "n_raw"))
     lines = nl.join(meta, g)
     body = lines.where(F.col("i") >= F.col("header_len")).select(
         *g, (F.col("i") - F.col("header_len")).alias("bi"), F.col("header_len").alias("h"),
@@ -216,7 +238,7 @@ def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("i", "line")))
     agg = allp.groupBy(*g, "piece").agg(F.concat_ws("\n", ordered.getField("line")).alias("content"),
                                         F.count_if(T.is_nonblank("line")).cast("bigint").alias("lines"))
-    npieces = pieces.groupBy(*g).agg(F.max("piece").alias("pieces"))
+    npieces = F.broadcast(pieces.groupBy(*g).agg(F.max("piece").alias("pieces")).checkpoint())
     out = agg.join(npieces, g).join(meta, g)
     parent = F.when(F.size("files") == 1, F.element_at("files", 1)).otherwise(
         F.concat(F.size("files").cast("string"), F.lit(" files")))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from patchloom.session import ensure_checkpoint_dir
 
 ROWS_PER_BLOCK = 1_000_000
+MAX_BROADCAST_GROUPS = 1_000_000
 
 
 def _blocks(n_rows: int, rows_per_block: int) -> int:
@@ -118,6 +119,11 @@ def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, s
     items = s.select(*g, *payload, F.col("__pos").cast("bigint").alias("__pos"), "__w",
                      (F.col("__P") - F.col("__w")).alias("__E")).checkpoint()
     totals = items.groupBy(*g).agg(F.max("__pos").alias("__N"), F.sum("__w").alias("__wsum"))
+    # one row per hot group; every hot group has > max_fold_items rows, so there are
+    # few of them: broadcast instead of shuffling a hot group's rows by its key
+    totals = totals.checkpoint()
+    if totals.count() <= MAX_BROADCAST_GROUPS:
+        totals = F.broadcast(totals)
 
     # 2. next(i) by an as-of lookup: last j with E_j <= E_i + cap
     data = items.select(*g, F.col("__E").alias("__v"), F.lit(0).alias("__kind"), F.col("__pos").alias("__dpos"),

@@ -58,3 +58,15 @@ def test_parallel_split_edge_is_reported(spark, make_diffs):
         lc.chunks.count()
     # the row path folds it
     assert DiffCorpus(d, LoadOptions(max_chunk_lines=10)).chunks.count() > 1
+
+
+def test_large_sections_bypass_the_section_shuffle(spark, monkeypatch):
+    """With every section counted as large, texts come through the broadcast path; same chunks."""
+    from patchloom.operators import line_table
+    from patchloom.operators.line_table import lines_from_diffs
+    monkeypatch.setattr(line_table, "LARGE_SECTION", 0)
+    diffs = load_corpus(spark, "/root/testdata/sf0.001")
+    opts = LoadOptions(max_chunk_lines=40)
+    got = LineDiffCorpus(lines_from_diffs(diffs), opts).chunks.select("diff_id", "chunk", F.md5("content"))
+    want = DiffCorpus(diffs, opts).chunks.select("diff_id", "chunk", F.md5("content"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
