@@ -20,7 +20,7 @@ CHUNK_COLUMNS = ["diff_id", "chunk", "files", "lines", "parent_file", "sub_chunk
 def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
     """E1+E2: ``(diff_id, sec, slot)`` for kept sections; big sections sit alone."""
     return pack(kept.select("diff_id", "sec", "n_lines"), ["diff_id"], ["sec"], "n_lines", max_lines,
-                **kw).select(
+                unique_order=True, **kw).select(
         "diff_id", "sec", "slot")
 
 
@@ -37,7 +37,7 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
         # row regime: the kept rows (text included) go through the fold themselves,
         # so each section comes back with its slot inside the diff's partition -
         # no join, and no exchange after the one that partitioned the diffs
-        s = pack(kept, ["diff_id"], ["sec"], "n_lines", max_lines, **kw)
+        s = pack(kept, ["diff_id"], ["sec"], "n_lines", max_lines, unique_order=True, **kw)
         slots = s.select("diff_id", "sec", "slot")
     else:
         s = kept.join(slots, ["diff_id", "sec"])

@@ -56,14 +56,18 @@ def _slots_from_starts(starts: Column, n: Column) -> Column:
 
 
 def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], weight_col: str, cap: float,
-         slot_col: str = "slot", max_fold_items: int | None = DEFAULT_MAX_FOLD_ITEMS) -> DataFrame:
+         slot_col: str = "slot", max_fold_items: int | None = DEFAULT_MAX_FOLD_ITEMS,
+         unique_order: bool = False) -> DataFrame:
     """E1g: every row of ``df`` with ``slot_col`` (1-based, dense per group) added.
 
     Rows are packed in ``order_cols`` order; rows tying on the order key are
     taken by ascending weight, then by the other columns (identical rows are
     interchangeable). Weights must be non-negative; the non-group columns must
     be orderable (no maps). Groups longer than ``max_fold_items`` are packed by
-    ``pack_parallel``; ``None`` folds every group.
+    ``pack_parallel``; ``None`` folds every group. With ``unique_order`` (the
+    order key is unique per group) the parallel path packs only the key and
+    weight and joins the other columns back on the key, so wide payloads
+    (section texts) never go through its sorts and checkpoints.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     if max_fold_items is None:
@@ -80,8 +84,12 @@ def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], we
     small = df.join(hot_keys, group_cols, "left_anti")
     hot = df.join(hot_keys, group_cols, "left_semi")
     folded = _pack_fold(small, group_cols, order_cols, weight_col, cap, slot_col)
-    parallel = pack_parallel(hot, group_cols, order_cols, weight_col, cap, slot_col,
+    keys = group_cols + order_cols
+    src = hot.select(*keys, *([weight_col] if weight_col not in keys else [])) if unique_order else hot
+    parallel = pack_parallel(src, group_cols, order_cols, weight_col, cap, slot_col,
                              n_rows=int(hot_stats[1]), max_group=int(hot_stats[2]))
+    if unique_order:
+        parallel = hot.join(parallel.select(*keys, slot_col), keys)
     return folded.unionByName(parallel.select(*folded.columns))
 
 

@@ -192,3 +192,14 @@ def test_single_named_file(spark, tmp_path):
     f.write_text(text(sec("a.py", ["-x", "+y"])))
     c = DiffCorpus.from_files(spark, str(f))
     assert stats(c, c.diffs.collect()[0].diff_id) == (1, 1, 7)
+
+
+def test_hot_diffs_take_the_parallel_pack(spark):
+    """Every diff over max_fold_items sections: slots come from the parallel path; same chunks."""
+    from patchloom.sources.corpus import load_corpus
+    diffs = load_corpus(spark, "/root/testdata/sf0.001")
+    opts = LoadOptions(max_chunk_lines=40)
+    cols = ["diff_id", "chunk", "lines", "parent_file", "sub_chunk_index"]
+    hot = DiffCorpus(diffs, opts, max_fold_items=2).chunks.select(*cols, F.md5("content"))
+    base = DiffCorpus(diffs, opts).chunks.select(*cols, F.md5("content"))
+    assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, base.collect()))
