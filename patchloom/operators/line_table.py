@@ -149,7 +149,13 @@ class LineDiffCorpus(DiffCorpus):
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return number_lines(self.lines)
+        """Read by the section facts, the text gathering and the giant split: persisted
+        once (memory, spilling to disk) instead of re-reading and re-numbering the input."""
+        n = number_lines(self.lines)
+        if self.cache_kept:
+            n = n.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(n)
+        return n
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -204,7 +210,11 @@ class LineDiffCorpus(DiffCorpus):
         giant = self.kept_facts.where(self._is_giant())
         if not giant.limit(1).collect():
             return None
-        return split_giant(self.numbered, giant, self.options.max_chunk_lines)
+        p = split_giant(self.numbered, giant, self.options.max_chunk_lines)
+        if self.cache_kept:
+            p = p.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(p)
+        return p
 
     @cached_property
     def chunks(self) -> DataFrame:

@@ -76,27 +76,35 @@ def running_count(df: DataFrame, group_cols, block: Column, order_cols, out: str
 
 def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int) -> DataFrame:
     """Positions reachable from ``first(group, __pos)`` by following ``jump(group, __pos, __nx, __N)``
-    (``__nx > __pos``; ``__nx > __N`` means past the end), found with log2(max_steps)
-    pointer-doubling joins - each a checkpointed, evenly keyed equi-join."""
+    (``__nx > __pos``; ``__nx > __N`` means past the end).
+
+    Pointer doubling, interleaved with the enumeration: after round k the
+    starts are ``{next^m(first) : m < 2^(k+1)}``; when a round adds none, the
+    path has ended, so the rounds (each a checkpointed, evenly keyed equi-join)
+    number about log2(path length), at most log2(max_steps) + 1.
+    """
     g = list(group_cols)
     ensure_checkpoint_dir(jump.sparkSession)
-    levels = [jump]
+    level = jump
+    starts = first.select(*g, "__pos").checkpoint()
+    found = starts.count()
     k_max = max(1, math.ceil(math.log2(max_steps + 1)))
-    for _ in range(1, k_max):
-        prev = levels[-1]
-        hop = prev.select(*g, F.col("__pos").alias("__mid"), F.col("__nx").alias("__nx2"))
-        on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in g), F.col("a.__nx") == F.col("b.__mid")]
-        nxt_level = prev.alias("a").join(hop.alias("b"), on, "left").select(
-            *(F.col(f"a.{c}") for c in g), F.col("a.__pos").alias("__pos"),
-            F.coalesce(F.col("b.__nx2"), F.col("a.__nx")).alias("__nx"), F.col("a.__N").alias("__N"))
-        levels.append(nxt_level.checkpoint())
-    starts = first.select(*g, "__pos")
-    for lv in levels:
-        step = starts.alias("s").join(lv.alias("l"), [*(F.col(f"s.{c}") == F.col(f"l.{c}") for c in g),
-                                                      F.col("s.__pos") == F.col("l.__pos")])
+    for k in range(k_max):
+        step = starts.alias("s").join(level.alias("l"), [*(F.col(f"s.{c}") == F.col(f"l.{c}") for c in g),
+                                                         F.col("s.__pos") == F.col("l.__pos")])
         step = step.where(F.col("l.__nx") <= F.col("l.__N")).select(*(F.col(f"s.{c}") for c in g),
                                                                    F.col("l.__nx").alias("__pos"))
         starts = starts.unionByName(step).checkpoint()
+        now = starts.count()
+        if now == found:
+            break
+        found = now
+        if k + 1 < k_max:
+            hop = level.select(*g, F.col("__pos").alias("__mid"), F.col("__nx").alias("__nx2"))
+            on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in g), F.col("a.__nx") == F.col("b.__mid")]
+            level = level.alias("a").join(hop.alias("b"), on, "left").select(
+                *(F.col(f"a.{c}") for c in g), F.col("a.__pos").alias("__pos"),
+                F.coalesce(F.col("b.__nx2"), F.col("a.__nx")).alias("__nx"), F.col("a.__N").alias("__N")).checkpoint()
     return starts
 
 

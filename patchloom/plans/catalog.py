@@ -300,6 +300,15 @@ def list_chunks_lines(spark, sf_dir):
     return _list(lc)
 
 
+@register("list_chunks_split_parallel", O.chunks_sql(SMALL_MAX, _LIST_SQL))
+def list_chunks_split_parallel(spark, sf_dir):
+    """Line regime with every oversized section split by the parallel (pointer-doubling) form."""
+    from patchloom.operators.line_table import LineDiffCorpus, lines_from_diffs
+    lc = LineDiffCorpus(lines_from_diffs(load_corpus(spark, sf_dir)), LoadOptions(max_chunk_lines=SMALL_MAX),
+                        max_section_lines=0)
+    return _list(lc)
+
+
 @register("list_chunks_100", O.chunks_sql(SMALL_MAX, _LIST_SQL))
 def list_chunks_100(spark, sf_dir):
     return _list(corpus(spark, sf_dir, max_chunk_lines=SMALL_MAX))
