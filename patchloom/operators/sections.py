@@ -9,7 +9,7 @@ regex over the section text, evaluated JVM-side. Inputs stay partitioned by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
@@ -79,18 +79,18 @@ def section_lines(secs: DataFrame, carry=()) -> DataFrame:
 def hunks(secs: DataFrame) -> DataFrame:
     """Hunk headers with their fields; a missing length means 1."""
     ln = section_lines(secs).where(T.is_hunk("line"))
-    w = F.row_number().over(__import__("pyspark.sql").sql.Window.partitionBy("diff_id", "sec").orderBy("i"))
+    nth = F.row_number().over(Window.partitionBy("diff_id", "sec").orderBy("i"))
 
-    def grp(k):
-        return F.regexp_extract("line", T.HUNK_RE, k)
+    def start(k):
+        return F.regexp_extract("line", T.HUNK_RE, k).cast("int")
 
     def length(k):
-        return F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(line, '{T.HUNK_RE.replace(chr(92), chr(92) * 2)}', {k}), '') as int)"), F.lit(1))
+        return F.coalesce(F.nullif(F.regexp_extract("line", T.HUNK_RE, k), F.lit("")).try_cast("int"), F.lit(1))
 
     return ln.select(
-        "diff_id", "sec", w.cast("int").alias("hunk"),
-        grp(1).cast("int").alias("old_start"), length(2).alias("old_len"),
-        grp(3).cast("int").alias("new_start"), length(4).alias("new_len"),
+        "diff_id", "sec", nth.cast("int").alias("hunk"),
+        start(1).alias("old_start"), length(2).alias("old_len"),
+        start(3).alias("new_start"), length(4).alias("new_len"),
     )
 
 
