@@ -42,7 +42,7 @@ def main() -> None:
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         q["list_chunks"](spark, warm).collect()
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     times, rows = {}, {}
     for n in names:
         best = None

@@ -147,6 +147,16 @@ class LineDiffCorpus(DiffCorpus):
                         glob: str | None = "*.diff", **kw) -> "LineDiffCorpus":
         return cls(read_diff_lines(spark, path, glob), options, **kw)
 
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "LineDiffCorpus":
+        """Keep the section facts and the chunks (never the texts of all sections)."""
+        for name in ("facts", "chunks"):
+            df = getattr(self, name).persist(level)
+            self.__dict__[name] = df
+            self._persisted.append(df)
+        self.__dict__["chunk_meta"] = self.chunks.drop("content")
+        self.__dict__.pop("stats", None)
+        return self
+
     @cached_property
     def numbered(self) -> DataFrame:
         """Read by the section facts, the text gathering and the giant split: persisted

@@ -70,3 +70,14 @@ def test_large_sections_bypass_the_section_shuffle(spark, monkeypatch):
     got = LineDiffCorpus(lines_from_diffs(diffs), opts).chunks.select("diff_id", "chunk", F.md5("content"))
     want = DiffCorpus(diffs, opts).chunks.select("diff_id", "chunk", F.md5("content"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_line_corpus_persist_and_lookups(spark):
+    from patchloom.operators.line_table import lines_from_diffs
+    diffs = load_corpus(spark, "/root/testdata/sf0.001")
+    lc = LineDiffCorpus(lines_from_diffs(diffs), LoadOptions(max_chunk_lines=40)).persist()
+    base = DiffCorpus(diffs, LoadOptions(max_chunk_lines=40))
+    assert sorted(map(tuple, lc.stats.collect())) == sorted(map(tuple, base.stats.collect()))
+    d = sorted(r.diff_id for r in base.stats.collect())[0]
+    assert lc.get_chunk(d, 1).collect()[0].text == base.get_chunk(d, 1).collect()[0].text
+    lc.unpersist()
