@@ -69,10 +69,12 @@ diffs AS (
   SELECT diff_id, string_agg(line, chr(10) ORDER BY d, seq) AS content FROM fx_lines GROUP BY diff_id
 )"""
 
+# --- fixed values (must equal the tool's): blank-test characters, diff syntax, generated markers ---
 # Python str.strip() whitespace, written out for RE2
 NB = r"[^\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 HEADER = r"^diff --git a/(.*) b/(.*)$"
+# plain substrings of the lower-cased path
 GENERATED = (".lock", ".min.js", ".min.css", ".map", "package-lock.json", "yarn.lock", "Pipfile.lock", ".pyc",
              ".pyo", "__pycache__", "node_modules/", "dist/", "build/", ".git/", ".DS_Store", "Thumbs.db")
 
