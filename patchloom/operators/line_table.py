@@ -245,12 +245,7 @@ def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
         *g, (F.col("i") - F.col("header_len")).alias("bi"), F.col("header_len").alias("h"),
         (F.col("n_raw") - F.col("header_len")).alias("n"), T.is_hunk("line").alias("hk"),
         T.is_nonblank("line").alias("nb"), "i", "line")
-    starts, edges = cut_starts(body.select(*g, "bi", "h", "n", "hk", "nb"), max_lines)
-    bad = edges.limit(1).collect()
-    if bad:
-        raise NotImplementedError(
-            f"section {bad[0].sec} of {bad[0].diff_id}: a back-track leaves the next piece full, which the "
-            "parallel split does not resolve; raise max_section_lines to fold it")
+    starts = cut_starts(body.select(*g, "bi", "h", "n", "hk", "nb"), max_lines)
     bp = pieces_of(body, starts).select(*g, "piece", "i", "line")
     pieces = bp.select(*g, "piece").distinct()
     head = lines.where(F.col("i") < F.col("header_len")).select(*g, "i", "line").join(pieces, g)

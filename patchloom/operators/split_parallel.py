@@ -15,11 +15,16 @@ piece starting at ``s`` ends where the first rule fires:
 So ``next(s)`` depends on ``s`` alone and is found by equi-joins against
 per-line lookups (rank of nonblank lines, next / last hunk header), each
 computed with two-level running aggregates over blocks of body lines. The
-cut starts are the lines reachable from 0 (pointer doubling). One case
-breaks the "depends on s alone" premise: after a back-track the new piece may
-already be full (``P(e+1) - P(LH(e)) + H >= max``, only when the lines between a
-forced cut and the next hunk header are blank). Sections that hit it on their
-path are reported, and the caller folds them instead.
+cut starts are the lines reachable from 0 (pointer doubling).
+
+After a back-track the new piece can already be full
+(``P(e+1) - P(LH(e)) + H >= max``). That needs every line in ``[s, LH(e))`` to be
+blank, so ``e`` is also ``e(LH(e))``: the state is a function of its position
+``p = LH(e)`` alone ("edge" state). From it the scan resumes at ``j = e(p) + 1``:
+a hunk header at ``j`` starts the next piece at ``j`` (by rule A, or by a
+back-track that is again an edge state when ``1 + H >= max``), any other line
+forces a cut after ``j``. So the graph has two nodes per line, ``2p`` (fresh)
+and ``2p + 1`` (edge), and pointer doubling over it stays exact.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ from patchloom.session import ensure_checkpoint_dir
 LINES_PER_BLOCK = 1_000_000
 
 
-def cut_starts(body: DataFrame, max_lines: int, lines_per_block: int = LINES_PER_BLOCK):
-    """``body(diff_id, sec, bi, h, n, hk, nb)`` -> (starts(diff_id, sec, __pos), edge sections(diff_id, sec))."""
+def cut_starts(body: DataFrame, max_lines: int, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
+    """``body(diff_id, sec, bi, h, n, hk, nb)`` -> piece starts ``(diff_id, sec, __pos)``."""
     g = ["diff_id", "sec"]
     ensure_checkpoint_dir(body.sparkSession)
     target = max(max_lines * 0.8, 200.0)
@@ -69,17 +74,30 @@ def cut_starts(body: DataFrame, max_lines: int, lines_per_block: int = LINES_PER
     q = q.join(p_at, g + ["__lhe"], "left")
     a_ok = F.col("__a").isNotNull() & (F.col("__e").isNull() | (F.col("__a") <= F.col("__e")))
     back = F.col("__lhe") > F.col("bi")
-    nx = (F.when(a_ok, F.col("__a")).when(F.col("__e").isNull(), F.col("n"))
-          .when(back, F.col("__lhe")).otherwise(F.col("__e") + 1))
-    edge = ~a_ok & F.col("__e").isNotNull() & back & \
-        ((F.col("__pe1") - F.col("__plh") + F.col("h")) >= F.lit(max_lines))
-    jump = q.select(*g, F.col("bi").cast("bigint").alias("__pos"), nx.cast("bigint").alias("__nx"),
-                    (F.col("n") - 1).cast("bigint").alias("__N"), edge.alias("__edge")).checkpoint()
+    full = (F.col("__pe1") - F.col("__plh") + F.col("h")) >= F.lit(max_lines)
+    end = 2 * F.col("n")
+    fresh_nx = (F.when(a_ok, 2 * F.col("__a")).when(F.col("__e").isNull(), end)
+                .when(back, 2 * F.col("__lhe") + F.when(full, 1).otherwise(0))
+                .otherwise(2 * (F.col("__e") + 1)))
+    # edge state at p: resume at j = e(p) + 1 with c = P(e+1) - P(p) nonblank lines
+    hk_at = lines.select(*g, F.col("bi").alias("__j"), F.col("hk").alias("__hkj"))
+    q = q.withColumn("__j", F.col("__e") + 1).join(hk_at, g + ["__j"], "left")
+    c_edge = F.col("__pe1") - F.col("__p")
+    rule_a = (c_edge + F.col("h")) >= F.lit(target)
+    again = (1 + F.col("h")) >= F.lit(max_lines)
+    edge_nx = (F.when(F.col("__e").isNull() | (F.col("__j") >= F.col("n")), end)
+               .when(F.col("__hkj") & (rule_a | ~again), 2 * F.col("__j"))
+               .when(F.col("__hkj"), 2 * F.col("__j") + 1)
+               .when(F.col("__j") + 1 >= F.col("n"), end)
+               .otherwise(2 * (F.col("__j") + 1)))
+    last = (2 * F.col("n") - 1).cast("bigint").alias("__N")
+    fresh = q.select(*g, (2 * F.col("bi")).cast("bigint").alias("__pos"), fresh_nx.cast("bigint").alias("__nx"), last)
+    edge = q.select(*g, (2 * F.col("bi") + 1).cast("bigint").alias("__pos"), edge_nx.cast("bigint").alias("__nx"), last)
+    jump = fresh.unionByName(edge).checkpoint()
     n_max = body.agg(F.max("n")).first()[0] or 1
     first = jump.where("__pos = 0").select(*g, "__pos")
-    starts = reachable(jump.drop("__edge"), g, first, int(n_max))
-    edges = starts.join(jump.where("__edge").select(*g, "__pos"), g + ["__pos"]).select(*g).distinct()
-    return starts, edges
+    nodes = reachable(jump, g, first, int(n_max))
+    return nodes.select(*g, F.floor(F.col("__pos") / 2).cast("bigint").alias("__pos"))
 
 
 def pieces_of(body: DataFrame, starts: DataFrame, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:

@@ -47,17 +47,21 @@ def test_giant_sections_split_in_parallel(spark, make_diffs):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_parallel_split_edge_is_reported(spark, make_diffs):
-    import pytest
+def test_parallel_split_edge_states(spark, make_diffs):
+    """Back-tracks that leave the next piece full (blank lines before a hunk header)."""
     from patchloom.operators.line_table import lines_from_diffs
     head = ["diff --git a/e.c b/e.c", "index 1..2 100644", "--- a/e.c", "+++ b/e.c"]
-    body = ["@@ -1 +1 @@", "+a", "+b", "+c", "+d", "+e", "", "", "@@ -9 +9 @@", "+f", "+g", "+h", "+i", "+j", "+k"]
-    d = make_diffs(e="\n".join(head + body))
-    lc = LineDiffCorpus(lines_from_diffs(d), LoadOptions(max_chunk_lines=10), max_section_lines=0)
-    with pytest.raises(NotImplementedError):
-        lc.chunks.count()
-    # the row path folds it
-    assert DiffCorpus(d, LoadOptions(max_chunk_lines=10)).chunks.count() > 1
+    body = ["@@ -1 +1 @@", "+a", "+b", "+c", "+d", "+e", "", "", "@@ -9 +9 @@", "+f", "+g", "+h", "+i", "+j", "+k",
+            "@@ -20 +20 @@", "+l", "", "@@ -30 +30 @@", "@@ -31 +31 @@", "+m", "+n", "+o", "+p", "+q", "+r", "+s"]
+    texts = {"e": "\n".join(head + body), "f": "\n".join(head[:2] + body), "g": "\n".join(head + body[:9])}
+    d = make_diffs(**texts)
+    cols = ["diff_id", "chunk", "lines", "sub_chunk_index"]
+    for m in (3, 4, 5, 6, 10):
+        opts = LoadOptions(max_chunk_lines=m)
+        lc = LineDiffCorpus(lines_from_diffs(d), opts, max_section_lines=0)
+        got = sorted(map(tuple, lc.chunks.select(*cols, F.md5("content")).collect()))
+        want = sorted(map(tuple, DiffCorpus(d, opts).chunks.select(*cols, F.md5("content")).collect()))
+        assert got == want, m
 
 
 def test_large_sections_bypass_the_section_shuffle(spark, monkeypatch):
