@@ -90,7 +90,7 @@ def chunk_files(chunks: DataFrame) -> DataFrame:
 
 def file_chunk_index(chunks: DataFrame) -> DataFrame:
     """D7 (grouped): path -> ascending chunk numbers."""
-    return chunk_files(chunks).groupBy("diff_id", "path").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
+    return chunk_files(chunks).groupBy("diff_id", "path").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
 
 
 def diff_stats(chunks: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def _pack_fold(df: DataFrame, group_cols, order_cols, weight_col, cap, slot_col)
     """Whole rows of a group travel as one sorted array (bounded by ``max_fold_items``)."""
     rest = [c for c in df.columns if c not in group_cols and c not in order_cols and c != weight_col]
     fields = order_cols + ([weight_col] if weight_col not in order_cols else []) + rest
-    items = F.array_sort(F.collect_list(F.struct(*fields)))
+    items = F.sort_array(F.collect_list(F.struct(*fields)))
     g = df.groupBy(*group_cols).agg(items.alias("__items"))
     g = g.select(*group_cols, "__items",
                  _slots_from_starts(_fold_starts(F.col("__items"), weight_col, cap), F.size("__items")).alias("__slots"))
