@@ -203,3 +203,11 @@ def test_hot_diffs_take_the_parallel_pack(spark):
     hot = DiffCorpus(diffs, opts, max_fold_items=2).chunks.select(*cols, F.md5("content"))
     base = DiffCorpus(diffs, opts).chunks.select(*cols, F.md5("content"))
     assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, base.collect()))
+
+
+def test_empty_corpus_overview(spark):
+    empty = spark.createDataFrame([], "diff_id string, content string")
+    c = DiffCorpus(empty)
+    row = c.overview().collect()[0]
+    assert row.loaded is False and row.total_sessions == 0 and row.chunks == 0
+    assert c.list_chunks().count() == 0
