@@ -253,7 +253,7 @@ def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("i", "line")))
     agg = allp.groupBy(*g, "piece").agg(F.concat_ws("\n", ordered.getField("line")).alias("content"),
                                         F.count_if(T.is_nonblank("line")).cast("bigint").alias("lines"))
-    npieces = F.broadcast(pieces.groupBy(*g).agg(F.max("piece").alias("pieces")).checkpoint())
+    npieces = _small_keys(pieces.groupBy(*g).agg(F.max("piece").alias("pieces")).checkpoint())
     out = agg.join(npieces, g).join(meta, g)
     parent = F.when(F.size("files") == 1, F.element_at("files", 1)).otherwise(
         F.concat(F.size("files").cast("string"), F.lit(" files")))
