@@ -96,12 +96,23 @@ def _sorted_keys(block: bytes | None) -> np.ndarray:
     return np.cumsum(_inflate(block, np.uint64), dtype=np.uint64)
 
 
+def packed_positions(sorted_positions: np.ndarray) -> bytes:
+    """Steps between sorted positions, two bytes each if they fit, after a byte that tells the width."""
+    steps = np.diff(sorted_positions.astype(np.int64), prepend=0)
+    kind = "<u2" if not len(steps) or steps.max() < 1 << 16 else "<u4"
+    return kind[2].encode() + steps.astype(kind).tobytes()
+
+
+def positions(block: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(block, f"<u{block[:1].decode()}", offset=1).astype(np.int64))
+
+
 def _by_ref(refs: np.ndarray, keys: np.ndarray, aux: np.ndarray, with_keys: bool) -> Iterator[tuple]:
     order = np.lexsort((aux, refs))
     refs, keys, aux = refs[order], keys[order], aux[order]
     cut = np.flatnonzero(np.concatenate([[True], refs[1:] != refs[:-1], [True]])) if len(refs) else np.zeros(1, int)
     for a, b in zip(cut[:-1], cut[1:]):
-        yield int(refs[a]), int(b - a), keys[a:b].tobytes() if with_keys else None, aux[a:b].astype(np.uint32).tobytes()
+        yield int(refs[a]), int(b - a), keys[a:b].tobytes() if with_keys else None, None if with_keys else packed_positions(aux[a:b])
 
 
 def _batch(rows, names, kinds) -> pa.RecordBatch:
@@ -112,7 +123,7 @@ def repeated(df: DataFrame, fingerprints: Callable, size_bytes: int, bits: int =
     """``df``: (ref long, further columns). ``fingerprints()`` gives, in a task, a function of the
     further columns' values to (keys uint64, aux uint32). Result rows: ``SCHEMA``:
 
-    * ENTRIES: of ``ref``, ``n`` entries whose keys occur elsewhere too (with_keys: the keys), and their aux;
+    * ENTRIES: of ``ref``, ``n`` entries whose keys occur elsewhere too: their packed aux, or with_keys the keys;
     * COUNTS (with_keys): keys that occur twice or more (keys), and how often (aux, uint32);
     * SIZES: ``n`` entries of ``ref`` in all.
 

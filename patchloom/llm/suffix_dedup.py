@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import estimated_bytes, staged
-from patchloom.llm.fingerprints import ENTRIES, Rolling, exact_copies, repeated, representatives
+from patchloom.llm.fingerprints import ENTRIES, Rolling, exact_copies, positions, repeated, representatives
 
 LENGTH = 200
 PERIOD = 133
@@ -90,7 +90,7 @@ def candidate_starts(length: int, period: int):
         def starts(text: str | None, samples: list[bytes]):
             data = _bytes(text)
             n = len(data) - length + 1
-            at = np.concatenate([np.frombuffer(s, np.uint32) for s in samples]).astype(np.int64)
+            at = np.concatenate([positions(s) for s in samples])
             near = np.zeros(n + 1, np.int64)
             np.add.at(near, np.clip(at - (period - 1), 0, n), 1)
             np.add.at(near, np.clip(at + 1, 0, n), -1)
@@ -114,7 +114,7 @@ def _runs(length: int):
                 if copies > 1 and len(data) >= length:
                     gone[:] = True
                 elif starts:
-                    s = np.concatenate([np.frombuffer(x, np.uint32) for x in starts]).astype(np.int64)
+                    s = np.concatenate([positions(x) for x in starts])
                     edge = np.zeros(len(data) + 1, np.int64)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + length, -1)
