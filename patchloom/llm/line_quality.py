@@ -158,4 +158,6 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
     lost = (F.col("word_chars") - F.col("kept_chars")) * 100 > F.col("word_chars") * MAX_LOSS_PCT
     done = five.withColumn("base_failed", base).withColumn("kept", ~base & ~lost)
-    return done.drop("_words", "_lines", "_uniq", "_h", "_good", "_placed")
+    # a generator ends the projections: a later filter on an output isn't pushed below it, into every step
+    rest = [c for c in source.columns if c.lower() not in low]
+    return done.select(*rest, F.inline_outer(F.array(F.struct(*outputs))))
