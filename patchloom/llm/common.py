@@ -34,7 +34,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a scan: file bytes, known without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

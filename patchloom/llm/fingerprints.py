@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_KEYS = 1_500_000
-#: Bytes of input files for each bucket.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 64
 
 _MOVED = "bucket int, kind int, ref long, n long, keys binary, refs binary, counts binary"
@@ -218,14 +218,18 @@ def _slices(keys: np.ndarray, bounds: np.ndarray) -> tuple[list, list]:
 # ---- exact copies
 
 def exact_copies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, ref, copies): ``ref`` is the smallest doc_id with the same text, ``copies`` how many rows have it."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("h")).filter("doc_id is not null")
-    groups = ids.groupBy("h").agg(F.min("doc_id").alias("ref"), F.count(F.lit(1)).alias("copies"))
-    alone = groups.filter("copies = 1").select(F.col("ref").alias("doc_id"), "ref", "copies")
-    more = ids.join(groups.filter("copies > 1"), "h").select("doc_id", "ref", "copies")
+    """(doc_id, ref, copies, bytes): ``ref`` is the smallest doc_id with the same text, ``copies`` how many rows have it."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")).filter("doc_id is not null")
+    groups = ids.groupBy("h").agg(F.min("doc_id").alias("ref"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("size"))
+    alone = groups.filter("copies = 1").select(F.col("ref").alias("doc_id"), "ref", "copies", F.col("size").alias("bytes"))
+    more = ids.join(groups.filter("copies > 1"), "h").select("doc_id", "ref", "copies", "bytes")
     return alone.unionAll(more)
 
 
+def text_bytes(members: DataFrame) -> int:
+    return int(members.agg(F.sum("bytes")).first()[0] or 0)
+
+
 #: Ids of copies that may be broadcast, 8 bytes each; beyond it the join is left to the planner.
 BROADCAST_IDS = 2_000_000
 

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import estimated_bytes, staged
+from patchloom.llm.common import staged
 from patchloom.llm.components import connected_components
-from patchloom.llm.fingerprints import COUNTS, ENTRIES, SIZES, Rolling, exact_copies, repeated, representatives
+from patchloom.llm.fingerprints import COUNTS, ENTRIES, SIZES, Rolling, exact_copies, repeated, representatives, text_bytes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -103,7 +103,7 @@ def _needed(n):
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id long, n_shingles long, component_id long), a row for each row of ``docs`` with a doc_id."""
     members = staged(exact_copies(docs, text, doc_id), "members")
-    found = staged(repeated(representatives(docs, members, text, doc_id), shingle_maker(shingle_words), estimated_bytes(docs), KEY_BITS, with_keys=True), "shared_shingles")
+    found = staged(repeated(representatives(docs, members, text, doc_id), shingle_maker(shingle_words), text_bytes(members), KEY_BITS, with_keys=True), "shared_shingles")
     sizes = found.filter(f"kind = {SIZES}").groupBy("ref").agg(F.max("n").alias("n_shingles"))
     shared = found.filter(f"kind = {ENTRIES}").groupBy("ref").agg(F.sum("n").alias("shared"))
     hopeful = staged(shared.join(sizes, "ref").filter(F.col("shared") >= _needed(F.col("n_shingles"))), "hopeful")
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     late = staged(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets), "late_links")
     nodes = connected_components(links.unionAll(late))
 
-    joined = members.join(sizes, members["ref"] == sizes["ref"], "left").drop(sizes["ref"]).join(nodes.withColumnRenamed("node", "ref"), "ref", "left")
+    joined = members.join(sizes, "ref", "left").join(nodes.withColumnRenamed("node", "ref"), "ref", "left")
     n = F.coalesce("n_shingles", F.lit(0).cast("long"))
     return joined.select("doc_id", n.alias("n_shingles"), F.when(n > 0, F.coalesce("label", "ref")).otherwise(F.col("doc_id")).alias("component_id"))
 

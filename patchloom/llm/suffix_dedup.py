@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import estimated_bytes, staged
-from patchloom.llm.fingerprints import ENTRIES, Rolling, exact_copies, positions, repeated, representatives
+from patchloom.llm.common import staged
+from patchloom.llm.fingerprints import ENTRIES, Rolling, exact_copies, positions, repeated, representatives, text_bytes
 
 LENGTH = 200
 PERIOD = 133
@@ -136,8 +136,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     if not 0 < period < length:
         raise ValueError("period must be positive and below length")
-    size = estimated_bytes(docs)
     members = staged(exact_copies(docs, text, doc_id), "members")
+    size = text_bytes(members)
     alone = representatives(docs, members, text, doc_id)
     ranks = staged(repeated(alone, sample_ranks(length, period), size, RANK_BITS).filter(f"kind = {ENTRIES}").select("ref", "aux"), "cover_ranks")
     flagged = alone.join(ranks.groupBy("ref").agg(F.collect_list("aux").alias("samples")), "ref").select("ref", "text", "samples")
