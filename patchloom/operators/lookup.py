@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +56,18 @@ def patterns_table(spark, patterns) -> DataFrame:
 
 def find_chunks_multi(chunks: DataFrame, patterns: DataFrame, max_patterns: int = 10_000) -> DataFrame:
     """many globs at once. ``patterns(pattern, regex, prefix)`` is a request
-    list, broadcast after checking its size, and matched against every
-    (diff, path, chunk) row in place (no shuffle of the chunk-file rows)."""
-    n = patterns.count()
-    if n > max_patterns:
-        raise ValueError(f"{n} patterns: more than max_patterns={max_patterns} to broadcast")
-    pat = F.broadcast(patterns.select("pattern", "regex", "prefix"))
+    list of any length: it is broadcast in blocks of about ``max_patterns`` and
+    matched against the distinct paths; the chunks are joined to the matches."""
+    files = chunk_files(chunks)
+    paths = files.select("path").distinct()
+    blocks = -(-patterns.count() // max_patterns)
     cond = F.expr("startswith(path, prefix) and path rlike regex")
-    return chunk_files(chunks).join(pat, cond).select("diff_id", "pattern", "chunk").distinct()
+    asked = patterns.select("pattern", "regex", "prefix").distinct()
+    found = [
+        paths.join(F.broadcast(asked.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, blocks))) == b)), cond).select("path", "pattern")
+        for b in range(max(1, blocks))
+    ]
+    return files.join(reduce(DataFrame.unionAll, found), "path").select("diff_id", "pattern", "chunk").distinct()
 
 
 def overview(stats: DataFrame) -> DataFrame:

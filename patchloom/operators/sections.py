@@ -77,15 +77,16 @@ def section_lines(secs: DataFrame, carry=()) -> DataFrame:
 
 
 def hunks(secs: DataFrame) -> DataFrame:
-    """Hunk headers with their fields; a missing length means 1."""
+    """Hunk headers with their fields; a missing length means 1, a number beyond 64 bits is null."""
     ln = section_lines(secs).where(T.is_hunk("line"))
     nth = F.row_number().over(Window.partitionBy("diff_id", "sec").orderBy("i"))
 
     def start(k):
-        return F.regexp_extract("line", T.HUNK_RE, k).cast("int")
+        return F.regexp_extract("line", T.HUNK_RE, k).try_cast("bigint")
 
     def length(k):
-        return F.coalesce(F.nullif(F.regexp_extract("line", T.HUNK_RE, k), F.lit("")).try_cast("int"), F.lit(1))
+        digits = F.regexp_extract("line", T.HUNK_RE, k)
+        return F.when(digits == "", F.lit(1).cast("bigint")).otherwise(digits.try_cast("bigint"))
 
     return ln.select(
         "diff_id", "sec", nth.cast("int").alias("hunk"),

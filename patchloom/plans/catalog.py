@@ -94,10 +94,10 @@ def changed_diffs(spark, sf_dir):
 
 
 @register("duplicate_diffs", """
-SELECT substr(sha256(text), 1, 16) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_diffs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
-    return docs.groupBy(F.substring(F.sha2("text", 256), 1, 16).alias("key")).agg(
+    return docs.groupBy(F.sha2("text", 256).alias("key")).agg(
         F.count("*").cast("bigint").alias("n")).where("n > 1")
 
 

@@ -71,3 +71,10 @@ def test_generated_markers_are_lowercase_substrings(spark, make_diffs):
     got = {r.path_a: r.is_generated for r in S.sections(make_diffs(a=text)).collect()}
     assert got == {"Pipfile.lock": True, ".DS_Store": False, "Thumbs.db": False, "rebuild/x": True,
                    "a.mapper.py": True, "src/main.py": False, "X.MIN.JS": True}
+
+
+def test_hunk_numbers_beyond_32_and_64_bits(make_diffs):
+    from patchloom.operators.sections import hunks, sections
+    d = make_diffs(a="diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -99999999999,1 +1 @@\n+y\n@@ -1,99999999999999999999 +2,0 @@\n+z\n")
+    rows = [tuple(r)[2:] for r in hunks(sections(d)).orderBy("hunk").collect()]
+    assert rows == [(1, 99999999999, 1, 1, 1), (2, 1, None, 2, 0)]
