@@ -148,7 +148,8 @@ def repeated(df: DataFrame, fingerprints: Callable, size_bytes: int, bits: int =
             aux = np.concatenate([a for _, _, a in state])
             order = np.argsort(keys, kind="stable")
             refs, keys, aux = refs[order], keys[order], aux[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            first = np.ones(len(keys), bool)  # none, if all texts are empty
+            first[1:] = keys[1:] != keys[:-1]
             run = np.cumsum(first) - 1
             many = np.bincount(run)
             twice = many[run] > 1
