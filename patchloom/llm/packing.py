@@ -20,8 +20,11 @@ longer than ``max_tokens`` ids is cut inside.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,73 @@ CACHED_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The normaliser and pre-tokeniser for which ``_Parts`` holds.
+PLAIN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Parts:
+    """Ids of plain words by the tokenizer's model alone, each distinct part encoded once.
+
+    Plain are words of ASCII and Latin-1 letters, digits and ASCII marks: they are in NFC, lower-cased
+    letter by letter, and split here as the tokenizer splits them. Other words, and words that may hold
+    a special token, go through the whole tokenizer.
+    """
+
+    split = staticmethod(re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall)
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.known: dict[str, tuple[int, ...]] = {}
+        # a byte's letter in the vocabulary: itself if printable, else the next from U+0100 on
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        letter = {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)} - {*printable}))}
+        self.letters = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+    @staticmethod
+    def fit(tokenizer: Tokenizer) -> bool:
+        """Whether the tokenizer is of the kind that this class knows."""
+        spec = json.loads(tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        same = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": PLAIN_SPLIT} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        bytes_only = same and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        special = all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        return bool(bytes_only and special and steps == PLAIN_NORMALIZER and spec["post_processor"] is None)
+
+    def of(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of all words, one after the other, and the number of each word's."""
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        flat, sizes = [], []
+        known, split, tokenize, letters = self.known, self.split, self.tokenizer.model.tokenize, self.letters
+        for w in words:
+            low, before = w.lower(), len(flat)
+            parts = (low,) if low.isascii() and low.isalpha() else split(low)
+            if "".join(parts) != low or "<|" in w:
+                flat += self.tokenizer.encode(w, add_special_tokens=False).ids
+            else:
+                for p in parts:
+                    got = known.get(p)
+                    if got is None:
+                        got = known[p] = tuple([t.id for t in tokenize(p if p.isascii() else p.translate(letters))])
+                    flat += got
+            sizes.append(len(flat) - before)
+        return flat, sizes
+
+
+class _Codes(dict):
+    """Words' numbers, given out in the order of their first lookup; ``fresh`` lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordTokenizer:
     """Ids of white-space separated words, each distinct word encoded once.
 
@@ -51,44 +121,49 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = _Parts(self.tokenizer) if _Parts.fit(self.tokenizer) else None
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first, self.size, self.stop = [], [], []
-
-    def learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.code[w] = len(self.first)
-            self.first.append(self.used)
-            self.size.append(len(ids))
-            self.stop.append(w.rstrip(b"\"')]").endswith((b".", b"!", b"?")))
-            self.used += len(ids)
+        self.code = _Codes()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.size, self.stop = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def learn(self) -> None:
+        """Encode the words that have a number but no ids yet."""
+        words, self.code.fresh = self.code.fresh, []
+        if not words:
+            return
+        texts = [w.decode() for w in words]
+        if self.parts:
+            ids, sizes = self.parts.of(texts)
+        else:
+            each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids, sizes = list(chain.from_iterable(each)), list(map(len, each))
+        size = np.array(sizes, np.int64)
+        n = len(self.code)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n > len(self.first):
+            self.first, self.size, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.stop))
+        self.flat[self.used : self.used + len(ids)] = ids
+        here = slice(n - len(words), n)
+        self.first[here] = self.used + np.cumsum(size) - size
+        self.size[here] = size
+        self.stop[here] = [w.rstrip(b"\"')]").endswith((b".", b"!", b"?")) for w in words]
+        self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids with an end id after each text; each text's count; word ends; which of these end sentences."""
         if len(self.code) > CACHED_WORDS:
             self.clear()
         split = [(t or "").encode().split() for t in texts]
-        fresh: set[bytes] = set()
-        for words in split:
-            fresh.update(w for w in set(words) if w not in self.code)
-        fresh.discard(b"")
-        self.learn(sorted(fresh))
-        get = self.code.__getitem__
-        codes = np.fromiter((c for words in split for c in map(get, words)), np.int64, sum(map(len, split)))
         n_words = np.fromiter(map(len, split), np.int64, len(split))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        self.learn()
         # one more pseudo word for each text: the end id
         ends = np.cumsum(n_words)
-        first = np.insert(np.asarray(self.first, np.int64)[codes] if len(codes) else codes, ends, -1)
-        size = np.insert(np.asarray(self.size, np.int64)[codes] if len(codes) else codes, ends, 1)
-        stop = np.insert(np.asarray(self.stop, bool)[codes] if len(codes) else codes.astype(bool), ends, True)
+        first, size, stop = np.insert(self.first[codes], ends, -1), np.insert(self.size[codes], ends, 1), np.insert(self.stop[codes], ends, True)
         word_end = np.cumsum(size)
         at = np.repeat(first - (word_end - size), size) + np.arange(word_end[-1] if len(word_end) else 0)
         ids = self.flat[np.maximum(at, 0)]
