@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.llm.common import staged
+
 #: Turns for which one task sums offsets.
 BLOCK = 1000
 SALTS = 64
@@ -50,8 +52,8 @@ def echo_sides(turns: DataFrame, alone: DataFrame) -> DataFrame:
     last = own.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     before = own.join(last, "conv_id").filter("turn < last").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("b"), F.first("last").alias("last")).select("conv_id", "last", F.col("b.text").alias("echo"))
     marked = own.join(before, "conv_id")
-    chosen = marked.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    return chosen.unionAll(marked.select("conv_id", F.lit("rejected"), "turn", "role", F.when(F.col("turn") == F.col("last"), F.col("echo")).otherwise(F.col("text"))))
+    texts = F.create_map(F.lit("chosen"), F.col("text"), F.lit("rejected"), F.when(F.col("turn") == F.col("last"), F.col("echo")).otherwise(F.col("text")))
+    return marked.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(texts).alias("side", "text")).select("pair_id", "side", "turn", "role", "text")
 
 
 def pair_sides(turns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,16 +71,21 @@ def format_preferences(sides: DataFrame) -> DataFrame:
 
     part: prompt, chosen or rejected; start: character offset in the part.
     """
-    at = sides.groupBy("pair_id", "turn").agg(
-        F.min(F.when(F.col("side") == "chosen", F.struct("role", "text"))).alias("c"), F.min(F.when(F.col("side") == "rejected", F.struct("role", "text"))).alias("r")
+    # written once: both the split and, in two levels, the offsets read it
+    at = staged(
+        sides.groupBy("pair_id", "turn").agg(
+            F.min(F.when(F.col("side") == "chosen", F.struct("role", "text"))).alias("c"), F.min(F.when(F.col("side") == "rejected", F.struct("role", "text"))).alias("r")
+        ),
+        "paired_turns",
     )
     split = at.filter("not c <=> r").groupBy("pair_id").agg(F.min("turn").alias("split"))
     both = at.join(split, "pair_id", "left")
     shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
-    prompt = both.filter(shared).select("pair_id", F.lit("prompt").alias("part"), "turn", F.col("c.role").alias("role"), F.col("c.text").alias("text"))
-    rest = both.filter(~shared)
-    sided = [rest.filter(f"{k} is not null").select("pair_id", F.lit(name).alias("part"), "turn", F.col(f"{k}.role").alias("role"), F.col(f"{k}.text").alias("text")) for k, name in (("c", "chosen"), ("r", "rejected"))]
-    rows = prompt.unionAll(sided[0]).unionAll(sided[1]).withColumn("rendered", rendered(F.col("role"), F.col("text"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    kind = "array<struct<part:string,m:struct<role:string,text:string>>>"
+    sided = F.array(*[F.struct(F.lit(name).alias("part"), F.col(k).alias("m")) for k, name in (("c", "chosen"), ("r", "rejected"))])
+    parts = F.when(shared, F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("m"))).cast(kind)).otherwise(sided.cast(kind))
+    placed = both.select("pair_id", "turn", F.inline(parts)).filter("m is not null").select("pair_id", "part", "turn", "m.role", "m.text")
+    rows = placed.withColumn("rendered", rendered(F.col("role"), F.col("text"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = rows.withColumn("x", F.coalesce(F.sum(F.length("rendered")).over(Window.partitionBy("pair_id", "part", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blocks = rows.groupBy("pair_id", "part", "block").agg(F.sum(F.length("rendered")).alias("n"))
     carry = blocks.withColumn("y", F.coalesce(F.sum("n").over(Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -90,7 +97,7 @@ def format_preferences(sides: DataFrame) -> DataFrame:
 def preferences_of(conversations: DataFrame) -> DataFrame:
     """``format_preferences`` of siblings and, where a conversation has none, of its echo pair."""
     turns = turns_of(conversations)
-    pairs = sibling_pairs(turns)
+    pairs = staged(sibling_pairs(turns), "sibling_pairs")
     taken = pairs.select(F.col("chosen").alias("conv_id")).unionAll(pairs.select("rejected"))
     alone = turns.select("conv_id").distinct().join(taken, "conv_id", "left_anti")
     return format_preferences(pair_sides(turns, pairs).unionByName(echo_sides(turns, alone)))
