@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.common import staged, table
 from patchloom.llm.decontaminate import find_leaks
+from patchloom.llm.fingerprints import BROADCAST_IDS, row_keys
 from patchloom.llm.line_quality import clean_lines
 from patchloom.llm.ngram_join import near_duplicates
 from patchloom.llm.packing import pack_documents
@@ -34,9 +35,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each class of near duplicates the document with the smallest id stays."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Operator 6: of each class of near duplicates exactly one row stays, that with the smallest id.
+
+    Texts that share a doc_id are documents of their own, with a hash for an id (``row_keys``). Of a row that is
+    repeated with other values of lang, source or n_chars the smallest stays.
+    """
+    rows = row_keys(docs, "text", "doc_id", COLUMNS[2:])
+    seen = staged(near_duplicates(rows, doc_id="row").filter("doc_id = component_id").groupBy(F.col("doc_id").alias("row")).agg(F.count(F.lit(1)).alias("n")), "kept_rows")
+    once = rows.join(seen.filter("n = 1"), "row", "left_semi").select(*COLUMNS)
+    again = seen.filter("n > 1")
+    n = again.count()
+    if not n:
+        return once
+    # partial aggregates choose the row before the exchange
+    chosen = rows.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("m"))
+    return once.unionByName(chosen.select("m.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +57,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     def decode(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode(errors="ignore") for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "left"])
+            left = pa.array([x.decode(errors="ignore") for x in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), left, *b.columns[2:]], ["doc_id", "left", "lang", "source"])
 
-    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "doc_id long, left string")
-    whole = docs.select(*COLUMNS).join(cut, "doc_id", "left").withColumn("left", F.coalesce("left", "text"))
+    cut = remove_repeats(docs, carry=("lang", "source")).select("doc_id", "kept", "lang", "source")
+    whole = cut.mapInArrow(decode, "doc_id long, left string, lang string, source string")
     return _with_text(whole.filter(F.btrim("left", F.lit(" \t\n\x0b\x0c\r")) != ""), "left")
 
 

@@ -20,10 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.common import staged
+
 BATCH_KEYS = 1_500_000
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 64
+#: Ids of rows that may be broadcast, 8 bytes each; beyond it the join is left to the planner.
+BROADCAST_IDS = 2_000_000
 
 _MOVED = "bucket int, kind int, ref long, n long, keys binary, refs binary, counts binary"
 SCHEMA = "kind int, ref long, n long, keys binary, aux binary"
@@ -218,6 +222,21 @@ def _slices(keys: np.ndarray, bounds: np.ndarray) -> tuple[list, list]:
 
 # ---- exact copies
 
+def row_keys(docs: DataFrame, text: str, doc_id: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text, *carry) of the rows with a doc_id: ``row`` is the same for equal doc_id and text only.
+
+    It is the doc_id, or a hash of doc_id and text where a doc_id has several texts (a null text counts as empty).
+    """
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).filter("doc_id is not null")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = staged(source.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("doc_id", F.lit(True).alias("several")), "several_texts")
+    n = several.count()
+    if not n:
+        return source.select(F.col("doc_id").alias("row"), "doc_id", "text", *carry)
+    marked = source.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id", "left")
+    return marked.select(F.when(F.col("several"), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id")).alias("row"), "doc_id", "text", *carry)
+
+
 def exact_copies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc_id, ref, copies, bytes): ``ref`` is the smallest doc_id with the same text, ``copies`` how many rows have it."""
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")).filter("doc_id is not null")
@@ -231,10 +250,6 @@ def text_bytes(members: DataFrame) -> int:
     return int(members.agg(F.sum("bytes")).first()[0] or 0)
 
 
-#: Ids of copies that may be broadcast, 8 bytes each; beyond it the join is left to the planner.
-BROADCAST_IDS = 2_000_000
-
-
 def representatives(docs: DataFrame, members: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(ref, text): one row for each distinct text (``members`` from ``exact_copies``, written)."""
     rest = members.filter("doc_id <> ref").select(F.col("doc_id").alias("ref")).distinct()

@@ -20,8 +20,8 @@ settled first: of a text that occurs twice everything repeats.
 
 Defined results: a null or empty text has no bytes; texts shorter than
 ``length`` lose nothing; matches never cross documents; rows without a doc_id are
-left out; rows that share a doc_id but not the text are not told apart; other
-columns are not read.
+left out; rows that share a doc_id but not the text are texts of their own
+(``row_keys``); other columns are not read, those of ``carry`` are passed on.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import staged
-from patchloom.llm.fingerprints import ENTRIES, Rolling, exact_copies, positions, repeated, representatives, text_bytes
+from patchloom.llm.fingerprints import ENTRIES, Rolling, exact_copies, positions, repeated, representatives, row_keys, text_bytes
 
 LENGTH = 200
 PERIOD = 133
@@ -103,7 +103,7 @@ def candidate_starts(length: int, period: int):
 
 
 def _runs(length: int):
-    """Kept bytes of each row (doc_id, text, copies, starts): (doc_id, n_bytes, n_removed, n_spans, kept)."""
+    """Kept bytes of each row (doc_id, text, copies, starts, carried columns): ``remove_repeats``' columns."""
 
     def run(batches):
         for b in batches:
@@ -124,28 +124,30 @@ def _runs(length: int):
                 out.append((d, len(data), len(data) - len(kept), spans, kept, hashlib.sha256(kept).hexdigest()))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
             kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays + b.columns[4:], names + b.schema.names[4:])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, period: int = PERIOD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans long, kept binary, kept_sha256 string), a row for each row with a doc_id.
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, period: int = PERIOD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans long, kept binary, kept_sha256 string, *carry), a row for each row with a doc_id.
 
     ``kept``: the bytes left, in order; at the edge of a removed run a character may be cut.
     """
     if not 0 < period < length:
         raise ValueError("period must be positive and below length")
-    members = staged(exact_copies(docs, text, doc_id), "members")
+    rows = row_keys(docs, text, doc_id, carry)
+    members = staged(exact_copies(rows, "text", "row"), "members")
     size = text_bytes(members)
-    alone = representatives(docs, members, text, doc_id)
+    alone = representatives(rows, members, "text", "row")
     ranks = staged(repeated(alone, sample_ranks(length, period), size, RANK_BITS).filter(f"kind = {ENTRIES}").select("ref", "aux"), "cover_ranks")
     flagged = alone.join(ranks.groupBy("ref").agg(F.collect_list("aux").alias("samples")), "ref").select("ref", "text", "samples")
     found = staged(repeated(flagged, candidate_starts(length, period), size).filter(f"kind = {ENTRIES}").select("ref", "aux"), "repeated_starts")
 
-    starts = found.groupBy("ref").agg(F.collect_list("aux").alias("starts")).withColumnRenamed("ref", "doc_id")
-    many = members.filter("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    facts = starts.join(many, "doc_id", "full")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    whole = source.join(facts, "doc_id", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "starts")
-    return whole.mapInArrow(_runs(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    starts = found.groupBy("ref").agg(F.collect_list("aux").alias("starts")).withColumnRenamed("ref", "row")
+    many = members.filter("copies > 1").groupBy(F.col("doc_id").alias("row")).agg(F.max("copies").alias("copies"))
+    facts = starts.join(many, "row", "full")
+    whole = rows.join(facts, "row", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "starts", *carry)
+    carried = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema[4:])
+    return whole.mapInArrow(_runs(length), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string{carried}")

@@ -113,6 +113,20 @@ def test_remove_repeats(documents):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_remove_repeats_of_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(str(x) for x in rng.integers(10**6, 10**7, n))
+    a, own, shared = text(60), text(60), text(40)
+    rows = [(3, a), (7, a), (7, own), (7, "short"), (8, shared + text(9)), (8, text(30) + shared), (9, own[:90] + "x"), (5, None), (5, shared)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        n = len(b) if t == a or t == shared else len(shared) if shared in (t or "") else 0
+        want.append((d, len(b), n))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted(want)
+
+
 def test_difference_covers():
     for v in (7, 20, 133):
         cover = suffix_dedup.difference_cover(v)

@@ -125,3 +125,17 @@ def test_pipeline(spark):
 def test_pipeline_stage_with_odd_rows(spark, stage):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "x y", "en", "s", 3), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     stage[1](spark, docs, "/root/testdata/sf0.001").collect()
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Rows repeated whole, and texts that share a doc_id, through the stages that drop copies and repeats."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(str(x) for x in rng.integers(10**6, 10**7, 60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a, "s"), (1, a, "s"), (2, b, "s"), (2, b, "t"), (3, c, "s"), (7, c, "s"), (7, d, "s"), (8, e, "s"), (8, "short", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    one = corpus_pipeline.staged(corpus_pipeline.one_of_each_class(spark, docs, SF), "one")
+    assert sorted(r.text for r in one.collect()) == sorted([a, b, c, d, e, "short"])
+    assert {(r.doc_id, r.source) for r in one.collect() if r.text in (a, b)} == {(1, "s"), (2, "s")}
+    left = corpus_pipeline.without_repeats(spark, one, SF)
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, one.collect())) and left.columns == docs.columns
