@@ -2,16 +2,21 @@
 
 The items (questions with answers) are the indexed side: for each term the
 items that hold it and its BM25 impact there, and for each block of items the
-largest impact. Every training text is cut into overlapping passages, and each
-passage is a query. Bounds drop a passage as soon as its terms' largest impacts
-can't reach the lowest threshold, then block by block; what is left is scored
-in full. An item is retrieved when the passage reaches ``share`` of the item's
-own score. Then the words in common order decide: a leak holds most of the
-question, and of the answer (the item's last sentence) a good part.
+largest impact. Every training text is cut into overlapping passages. An item is
+retrieved when a passage reaches its threshold: the least score of any set of
+words that verification accepts (``least_score``), or ``share`` of the item's own
+score if that is lower. So nothing that would be verified is missed. Runs of
+passages are scored first, as they hold all that each passage holds: block bounds,
+then scores and numbers of common words, drop most items; what is left is scored
+passage by passage. Every retrieved passage, best score first, is verified until
+one passes: a leak holds most of the question in order, and of the answer (the
+item's last sentence) a good part. A passage is twice ``size`` words, every half
+``size``, so an item of up to 1.5 ``size`` words stands whole in one.
 
 The index goes to the tasks in shards of at most ``SHARD_ITEMS`` items, so the
 broadcast is bounded whatever the benchmark's size; each shard is one scan of
-the documents. No shuffle. Statistics of terms are those of the shard.
+the documents. No shuffle. Statistics of terms are those of the shard: the
+scores depend on them, the items found do not.
 
 Defined results: items without words match nothing; texts that are null or
 empty hold nothing; repeated rows of documents give repeated rows, repeated
@@ -37,8 +42,10 @@ from patchloom.llm.wordbytes import folded_words
 SHARD_ITEMS = 20_000
 BLOCK_ITEMS = 16
 K1, B = 1.2, 0.75
-#: A passage must reach this share of the score that the item reaches itself.
+#: A passage need not reach more than this share of the score that the item reaches itself.
 SHARE = 0.5
+#: Passages scored together before each by itself.
+RUN = 8
 MIN_PASSAGE = 64
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5
 QUESTION_ALONE = 0.8
@@ -54,62 +61,119 @@ def split_item(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return [w for p in parts[:-1] for w in folded_words(p)], folded_words(parts[-1])
 
 
+def accepted(question_overlap: float, answer_overlap: float, answer: list[bytes]) -> bool:
+    return question_overlap >= QUESTION_ALONE or question_overlap >= QUESTION_OVERLAP and (not answer or answer_overlap >= ANSWER_OVERLAP)
+
+
+def _least_cover(counts: Counter, impact: dict[bytes, float], share: float) -> float:
+    """The least sum of impacts of terms whose words make up ``share`` of all words."""
+    n = sum(counts.values())
+    spare = max((k for k in range(n + 1) if (n - k) / n >= share), default=0)
+    dropped = np.zeros(spare + 1)  # by number of words dropped: the largest impact that can go
+    for t, m in counts.items():
+        if m <= spare:
+            dropped[m:] = np.maximum(dropped[m:], dropped[: spare + 1 - m] + impact[t])
+    return sum(impact[t] for t in counts) - float(dropped[-1])
+
+
+def least_score(question: list[bytes], answer: list[bytes], impact: dict[bytes, float]) -> float:
+    """No set of words that verification accepts has a lower score."""
+    q, a = Counter(question), Counter(answer)
+    both = _least_cover(q, impact, QUESTION_OVERLAP)
+    if a:
+        both += _least_cover(a, {t: 0.0 if t in q else impact[t] for t in a}, ANSWER_OVERLAP)
+    return min(_least_cover(q, impact, QUESTION_ALONE), both)
+
+
 class ItemIndex:
-    """BM25 impacts of the items of one passage length, with the largest by term and by block of items."""
+    """BM25 impacts of the items of one passage length, with the largest by block of items."""
 
     def __init__(self, items: list[tuple], size: int, share: float):
         self.size = size
         self.items = items
-        counts = [Counter(q + a) for _, q, a in items]
+        self.parts = [(Counter(q), Counter(a)) for _, q, a in items]
+        counts = [q + a for q, a in self.parts]
         mean = sum(sum(c.values()) for c in counts) / len(items)
         df = Counter(t for c in counts for t in c)
         self.postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.threshold = np.zeros(len(items))
+        self.impacts: list[dict[bytes, float]] = []
         for i, c in enumerate(counts):
             n = sum(c.values())
+            own = {}
             for t, f in c.items():
                 idf = math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5))
-                impact = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
-                self.postings[t].append((i, impact))
-                self.threshold[i] += share * impact
-        self.top = {t: max(x for _, x in p) for t, p in self.postings.items()}
-        self.lowest = float(self.threshold.min())
+                own[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
+                self.postings[t].append((i, own[t]))
+            self.impacts.append(own)
+            self.threshold[i] = min(share * sum(own.values()), least_score(*items[i][1:], own))
+        self.lengths = np.array([[max(1, len(q)), max(1, len(a))] for _, q, a in items], float)
+        self.open = np.array([not a for _, _, a in items])
         blocks = -(-len(items) // BLOCK_ITEMS)
-        self.block_lowest = [float(self.threshold[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min()) for b in range(blocks)]
-        self.block_top: dict[bytes, dict[int, float]] = {}
+        self.block_lowest = np.array([self.threshold[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min() for b in range(blocks)])
+        # postings of all terms one after the other: item, impact, words of the question and of the answer; then the blocks'
+        flat, tops, self.at, self.block_at = [], [], {}, {}
         for t, p in self.postings.items():
-            tops: dict[int, float] = {}
+            top: dict[int, float] = {}
             for i, x in p:
-                tops[i // BLOCK_ITEMS] = max(tops.get(i // BLOCK_ITEMS, 0.0), x)
-            self.block_top[t] = tops
-
-    def passages(self, words: list[bytes]) -> Iterator[int]:
-        """Starts of the passages whose terms could reach the lowest threshold."""
-        bound = np.fromiter((self.top.get(w, 0.0) for w in words), float, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(bound)])
-        step = self.size // 2
-        starts = np.arange(0, max(1, len(words) - step), step)
-        ends = np.minimum(starts + self.size, len(words))
-        return iter(starts[sums[ends] - sums[starts] >= self.lowest - 1e-9].tolist())
+                top[i // BLOCK_ITEMS] = max(top.get(i // BLOCK_ITEMS, 0.0), x)
+            self.at[t] = np.arange(len(flat), len(flat) + len(p))
+            self.block_at[t] = np.arange(len(tops), len(tops) + len(top))
+            flat += [(i, x, self.parts[i][0][t], self.parts[i][1][t]) for i, x in p]
+            tops += top.items()
+        self.item, self.impact, self.in_question, self.in_answer = (np.array(c, k) for c, k in zip(zip(*flat, strict=True), (np.int64, float, float, float), strict=True))
+        self.block, self.block_top = (np.array(c, k) for c, k in zip(zip(*tops, strict=True), (np.int64, float), strict=True))
+
+    def _scored(self, passage) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items whose threshold the passage reaches, their scores, and the numbers of the postings met."""
+        none = np.zeros(0, np.int64)
+        terms = [t for t in set(passage) if t in self.at]
+        if not terms:
+            return none, np.zeros(0), none
+        b = np.concatenate([self.block_at[t] for t in terms])
+        live = np.bincount(self.block[b], self.block_top[b], len(self.block_lowest)) >= self.block_lowest - 1e-9
+        if not live.any():
+            return none, np.zeros(0), none
+        p = np.concatenate([self.at[t] for t in terms])
+        if not live.all():
+            p = p[live[self.item[p] // BLOCK_ITEMS]]
+        score = np.bincount(self.item[p], self.impact[p], len(self.items))
+        hit = np.flatnonzero((score >= self.threshold - 1e-9) & (score > 0))
+        return hit, score[hit], p
 
     def retrieve(self, passage: list[bytes]) -> list[tuple[int, float]]:
         """(item, score) of all items whose threshold the passage reaches."""
-        terms = [t for t in set(passage) if t in self.top]
-        if sum(self.top[t] for t in terms) < self.lowest - 1e-9:
-            return []
-        bound: dict[int, float] = defaultdict(float)
-        for t in terms:
-            for b, x in self.block_top[t].items():
-                bound[b] += x
-        live = {b for b, x in bound.items() if x >= self.block_lowest[b] - 1e-9}
-        if not live:
+        hit, score, _ = self._scored(passage)
+        return list(zip(hit.tolist(), score.tolist(), strict=True))
+
+    def hopeful(self, run: list[bytes]) -> list[int]:
+        """Items that a passage inside ``run`` may hold: by score, and by the numbers of common words."""
+        hit, _, p = self._scored(run)
+        if not len(hit):
             return []
-        score: dict[int, float] = defaultdict(float)
-        for t in terms:
-            for i, x in self.postings[t]:
-                if i // BLOCK_ITEMS in live:
-                    score[i] += x
-        return [(i, s) for i, s in score.items() if s >= self.threshold[i] - 1e-9]
+        q = np.bincount(self.item[p], self.in_question[p], len(self.items))[hit] / self.lengths[hit, 0]
+        a = np.bincount(self.item[p], self.in_answer[p], len(self.items))[hit] / self.lengths[hit, 1]
+        return hit[(q >= QUESTION_ALONE) | (q >= QUESTION_OVERLAP) & (self.open[hit] | (a >= ANSWER_OVERLAP))].tolist()
+
+    def may_pass(self, i: int, held: Counter) -> bool:
+        """Whether the words of a passage, in whatever order, are enough of the item's."""
+        q, a = (sum(min(m, held[t]) for t, m in part.items() if t in held) for part in self.parts[i])
+        return accepted(q / self.lengths[i, 0], a / self.lengths[i, 1], self.items[i][2])
+
+    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
+        """(item, start, score) of every retrieved passage whose words are enough."""
+        step = self.size // 2
+        starts = range(0, max(1, len(words) - step), step)
+        for k in range(0, len(starts), RUN):
+            own = starts[k : k + RUN]
+            found = self.hopeful(words[max(0, own[0] - step) : own[-1] + 3 * step])
+            if found:
+                for start in own:
+                    held = Counter(words[max(0, start - step) : start + 3 * step])
+                    for i in found:
+                        score = sum(x for t, x in self.impacts[i].items() if t in held)
+                        if score >= self.threshold[i] - 1e-9 and self.may_pass(i, held):
+                            yield i, start, score
 
 
 def overlap(part: list[bytes], region: list[bytes]) -> float:
@@ -130,21 +194,21 @@ def build_indexes(items: list[tuple], share: float) -> list[ItemIndex]:
 
 
 def leaks_in(words: list[bytes], indexes: list[ItemIndex]) -> list[tuple]:
-    """(item, first word, score, question and answer overlap) of the verified items in a text, best passage each."""
-    best: dict[tuple[int, int], tuple] = {}
-    for k, index in enumerate(indexes):
-        for start in index.passages(words):
-            for i, score in index.retrieve(words[start : start + index.size]):
-                if score > best.get((k, i), (0.0,))[0]:
-                    best[k, i] = (score, start)
+    """(item, first word, score, question and answer overlap) of the verified items in a text, the best passage that passes."""
     out = []
-    for (k, i), (score, start) in best.items():
-        index = indexes[k]
-        item_id, q, a = index.items[i]
-        region = words[max(0, start - index.size // 2) : start + index.size + index.size // 2]
-        qo, ao = overlap(q, region), overlap(a, region)
-        if qo >= QUESTION_ALONE or qo >= QUESTION_OVERLAP and (not a or ao >= ANSWER_OVERLAP):
-            out.append((item_id, start, score, qo, ao))
+    for index in indexes:
+        retrieved: dict[int, list[tuple[float, int]]] = defaultdict(list)
+        for i, start, score in index.passages(words):
+            retrieved[i].append((-score, start))
+        step = index.size // 2
+        for i, passages in retrieved.items():
+            item_id, q, a = index.items[i]
+            for score, start in sorted(passages):
+                region = words[max(0, start - step) : start + 3 * step]
+                qo, ao = overlap(q, region), overlap(a, region)
+                if accepted(qo, ao, a):
+                    out.append((item_id, start, -score, qo, ao))
+                    break
     return out
 
 

@@ -212,6 +212,35 @@ def test_find_leaks(spark, documents):
     assert whole <= {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(documents, real).collect()}
 
 
+def test_leak_behind_a_better_passage():
+    """Shuffled words first, the item later; items across every border of passages; a question without its answer."""
+    rng = np.random.default_rng(8)
+    q = [f"q{i}".encode() for i in range(15)]
+    a = [f"a{i}".encode() for i in range(12)]
+    others = [(k, [f"o{k}x{i}".encode() for i in range(15)], [b"yes"]) for k in range(2, 30)]
+    index = [decontaminate.ItemIndex([(1, q, a), *others], 64, decontaminate.SHARE)]
+    fill = lambda n: [f"f{x}".encode() for x in rng.integers(0, 500, n)]
+    ids = lambda words: [x[0] for x in decontaminate.leaks_in(words, index)]
+    assert ids(fill(50) + sorted(q)[::-1] + a[::-1] + fill(400) + q + a + fill(50)) == [1]
+    assert ids(fill(50) + sorted(q)[::-1] + a[::-1] + fill(400)) == []
+    assert all(ids(fill(n) + q + a + fill(90)) == [1] for n in range(130))
+    assert ids(fill(50) + q[:12] + fill(200)) == [1] and ids(fill(50) + q[:11] + fill(200)) == []
+    assert ids(fill(50) + q[:9] + a[:6] + fill(200)) == [1] and ids(fill(50) + q[:9] + a[:5] + fill(200)) == []
+
+
+def test_least_score_is_the_least():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        q, a = ([b"%d" % x for x in rng.integers(0, 8, n)] for n in (rng.integers(1, 9), rng.integers(0, 5)))
+        impact = {t: float(rng.random()) for t in q + a}
+        sets = itertools.chain.from_iterable(itertools.combinations(impact, n) for n in range(len(impact) + 1))
+        share = lambda part, s: sum(w in s for w in part) / len(part) if part else 0.0
+        least = min(sum(impact[t] for t in s) for s in sets if decontaminate.accepted(share(q, s), share(a, s), a))
+        assert decontaminate.least_score(q, a, impact) <= least + 1e-9
+        if not set(q) & set(a):
+            assert decontaminate.least_score(q, a, impact) >= least - 1e-9
+
+
 def test_bounds_drop_no_item():
     """Block-max pruning retrieves what a full scoring does."""
     rng = np.random.default_rng(1)
