@@ -11,7 +11,10 @@ over many rows; offsets are prefix sums in two levels.
 Defined results: rows without an id or turn are left out; of rows with equal
 id and turn the smallest (role, text) counts; a null text is empty, a null role
 is "user"; if one side is a prefix of the other, its completion is empty;
-identical sides give a prompt alone; extra columns are not read.
+identical sides give a prompt alone; extra columns are not read. A conversation
+without a sibling and without an assistant's turn after another turn has no pair:
+``preferences_of`` leaves it out, or with ``lone_prompts`` gives its turns as a
+prompt with empty completions.
 """
 
 from __future__ import annotations
@@ -45,13 +48,13 @@ def sibling_pairs(turns: DataFrame) -> DataFrame:
     return two.select(F.col("chosen").alias("pair_id"), "chosen", "rejected")
 
 
-def echo_sides(turns: DataFrame, alone: DataFrame) -> DataFrame:
+def echo_sides(turns: DataFrame, alone: DataFrame, lone_prompts: bool = False) -> DataFrame:
     """Sides of pairs for conversations without a sibling: the rejected one answers its last assistant turn with the
-    text of the turn that came before."""
+    text of the turn that came before. With ``lone_prompts`` both sides are equal where there is no such answer."""
     own = turns.join(alone, "conv_id", "left_semi")
     last = own.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     before = own.join(last, "conv_id").filter("turn < last").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("b"), F.first("last").alias("last")).select("conv_id", "last", F.col("b.text").alias("echo"))
-    marked = own.join(before, "conv_id")
+    marked = own.join(before, "conv_id", "left" if lone_prompts else "inner")
     texts = F.create_map(F.lit("chosen"), F.col("text"), F.lit("rejected"), F.when(F.col("turn") == F.col("last"), F.col("echo")).otherwise(F.col("text")))
     return marked.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(texts).alias("side", "text")).select("pair_id", "side", "turn", "role", "text")
 
@@ -94,10 +97,10 @@ def format_preferences(sides: DataFrame) -> DataFrame:
     return done.select("pair_id", "part", "turn", "role", "rendered", (F.col("x") + F.col("y")).cast("long").alias("start"), mask.alias("loss_mask"))
 
 
-def preferences_of(conversations: DataFrame) -> DataFrame:
-    """``format_preferences`` of siblings and, where a conversation has none, of its echo pair."""
+def preferences_of(conversations: DataFrame, lone_prompts: bool = False) -> DataFrame:
+    """``format_preferences`` of siblings and, where a conversation has none, of its echo pair (``echo_sides``)."""
     turns = turns_of(conversations)
     pairs = staged(sibling_pairs(turns), "sibling_pairs")
     taken = pairs.select(F.col("chosen").alias("conv_id")).unionAll(pairs.select("rejected"))
     alone = turns.select("conv_id").distinct().join(taken, "conv_id", "left_anti")
-    return format_preferences(pair_sides(turns, pairs).unionByName(echo_sides(turns, alone)))
+    return format_preferences(pair_sides(turns, pairs).unionByName(echo_sides(turns, alone, lone_prompts)))

@@ -49,7 +49,7 @@ def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences_of(table(spark, sf_dir, "conversations"))
+    return preferences_of(table(spark, sf_dir, "conversations"), lone_prompts=True)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

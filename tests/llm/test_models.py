@@ -108,6 +108,17 @@ def test_preferences(spark):
     assert preference.preferences_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_preferences_hold_every_conversation(spark, tmp_path):
+    """Conversations without an answer come out as prompts; a sibling pair stands for both of its conversations."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "system", "be brief"), (3, 1, "user", "why"),
+            (4, 0, "assistant", "welcome"), (4, 1, "user", "thanks"), (5, 2, None, None), (6, None, "user", "x"), (7, 0, "user", "a"), (7, 1, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op5_preferences(spark, str(tmp_path)).collect()
+    assert {r.pair_id for r in got} == {1, 3, 4, 5, 7}
+    lone = sorted((r.pair_id, r.part, r.turn, r.role, r.start, r.loss_mask) for r in got if r.pair_id in (3, 4, 5))
+    assert lone == [(3, "prompt", 0, "system", 0, 0), (3, "prompt", 1, "user", 20, 0), (4, "prompt", 0, "assistant", 0, 0), (4, "prompt", 1, "user", 22, 0), (5, "prompt", 2, "user", 0, 0)]
+
+
 def test_pipeline(spark):
     small = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{small}/documents.parquet")
