@@ -15,8 +15,8 @@ item's last sentence) a good part. A passage is twice ``size`` words, every half
 
 The index goes to the tasks in shards of at most ``SHARD_ITEMS`` items, so the
 broadcast is bounded whatever the benchmark's size; each shard is one scan of
-the documents. No shuffle. Statistics of terms are those of the shard: the
-scores depend on them, the items found do not.
+the documents. No shuffle. Statistics of terms are those of all items, whatever
+their shard and passage length, so results don't depend on the number of shards.
 
 Defined results: items without words match nothing; texts that are null or
 empty hold nothing; repeated rows of documents give repeated rows, repeated
@@ -85,16 +85,32 @@ def least_score(question: list[bytes], answer: list[bytes], impact: dict[bytes,
     return min(_least_cover(q, impact, QUESTION_ALONE), both)
 
 
+class Statistics:
+    """Number of items with words, their mean length, and for each term the number of items that hold it."""
+
+    def __init__(self):
+        self.items, self.words, self.df = 0, 0, Counter()
+
+    def add(self, question: list[bytes], answer: list[bytes]) -> None:
+        if question or answer:
+            self.items += 1
+            self.words += len(question) + len(answer)
+            self.df.update(set(question + answer))
+
+
 class ItemIndex:
     """BM25 impacts of the items of one passage length, with the largest by block of items."""
 
-    def __init__(self, items: list[tuple], size: int, share: float):
+    def __init__(self, items: list[tuple], size: int, share: float, statistics: Statistics | None = None):
+        if statistics is None:
+            statistics = Statistics()
+            for _, q, a in items:
+                statistics.add(q, a)
         self.size = size
         self.items = items
         self.parts = [(Counter(q), Counter(a)) for _, q, a in items]
         counts = [q + a for q, a in self.parts]
-        mean = sum(sum(c.values()) for c in counts) / len(items)
-        df = Counter(t for c in counts for t in c)
+        mean, df = statistics.words / statistics.items, statistics.df
         self.postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.threshold = np.zeros(len(items))
         self.impacts: list[dict[bytes, float]] = []
@@ -102,7 +118,7 @@ class ItemIndex:
             n = sum(c.values())
             own = {}
             for t, f in c.items():
-                idf = math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5))
+                idf = math.log(1 + (statistics.items - df[t] + 0.5) / (df[t] + 0.5))
                 own[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
                 self.postings[t].append((i, own[t]))
             self.impacts.append(own)
@@ -183,14 +199,14 @@ def overlap(part: list[bytes], region: list[bytes]) -> float:
     return sum(m.size for m in SequenceMatcher(None, part, region, autojunk=False).get_matching_blocks()) / len(part)
 
 
-def build_indexes(items: list[tuple], share: float) -> list[ItemIndex]:
+def build_indexes(items: list[tuple], share: float, statistics: Statistics | None = None) -> list[ItemIndex]:
     """An index for each passage length: the power of two from 1.5 times the item's words, 64 at least."""
     by_size: dict[int, list[tuple]] = defaultdict(list)
     for item_id, text in items:
         q, a = split_item(text)
         if q or a:
             by_size[max(MIN_PASSAGE, 1 << math.ceil(math.log2(1.5 * len(q + a))))].append((item_id, q, a))
-    return [ItemIndex(x, size, share) for size, x in sorted(by_size.items())]
+    return [ItemIndex(x, size, share, statistics) for size, x in sorted(by_size.items())]
 
 
 def leaks_in(words: list[bytes], indexes: list[ItemIndex]) -> list[tuple]:
@@ -216,12 +232,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shar
     """``SCHEMA``: a row for each document and each item that it holds."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    shards = max(1, -(-items.count() // shard_items * 5 // 4))  # room for uneven hashing
+    n = items.count()
+    shards = 1 if n <= shard_items else -(-n * 5 // (shard_items * 4))  # room for uneven hashing
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def own(shard: int) -> list[tuple]:
+        rows = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
+        return sorted(map(tuple, rows.collect()), key=str)
+
+    statistics = Statistics()
+    for shard in range(shards):
+        for _, x in own(shard):
+            statistics.add(*split_item(x))
     found = []
     for shard in range(shards):
-        own = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        index = spark.sparkContext.broadcast(build_indexes(sorted(map(tuple, own.collect()), key=str), share))
+        index = spark.sparkContext.broadcast(build_indexes(own(shard), share, statistics))
         found.append(source.mapInArrow(_matcher(index), SCHEMA))
     return reduce(DataFrame.unionAll, found)
 

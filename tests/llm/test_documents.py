@@ -228,6 +228,18 @@ def test_leak_behind_a_better_passage():
     assert ids(fill(50) + q[:9] + a[:6] + fill(200)) == [1] and ids(fill(50) + q[:9] + a[:5] + fill(200)) == []
 
 
+def test_leaks_are_those_of_any_number_of_shards(spark, documents):
+    real = spark.read.parquet(f"{SF}/benchmark.parquet").limit(7)
+    items = [tuple(r) for r in real.select("item_id", "text").collect()]
+    bench = spark.createDataFrame([*items, (900, None)], "item_id long, text string")
+    docs = documents.select("doc_id", "text").limit(20).unionAll(spark.createDataFrame([(7000 + i, "before it " + x + " after it") for i, x in items], "doc_id long, text string"))
+    whole = decontaminate.find_leaks(docs, bench)
+    assert "Union" not in whole._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # one scan
+    rounded = lambda df: sorted((*r[:3], round(r.score, 6), *r[4:]) for r in df.collect())
+    got = rounded(whole)
+    assert {i for i, _ in items} <= {r[1] for r in got} and got == rounded(decontaminate.find_leaks(docs, bench, shard_items=3))
+
+
 def test_least_score_is_the_least():
     rng = np.random.default_rng(2)
     for _ in range(30):
