@@ -15,6 +15,7 @@ from patchloom.llm.ngram_join import near_duplicates
 from patchloom.llm.packing import pack_documents
 from patchloom.llm.preference import preferences_of
 from patchloom.llm.quality_cotrain import score_quality
+from patchloom.llm.simhash_join import simhash_duplicates
 from patchloom.llm.suffix_dedup import remove_repeats
 from patchloom.llm.toxicity import score_toxicity
 from patchloom.llm.url_filter import judge_urls
@@ -73,6 +74,10 @@ def op10_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "kept_chars")
 
 
+def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
