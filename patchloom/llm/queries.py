@@ -17,6 +17,7 @@ from patchloom.llm.preference import preferences_of
 from patchloom.llm.quality_cotrain import score_quality
 from patchloom.llm.simhash_join import simhash_duplicates
 from patchloom.llm.suffix_dedup import remove_repeats
+from patchloom.llm.token_alignment import align_tokenizers
 from patchloom.llm.toxicity import score_toxicity
 from patchloom.llm.url_filter import judge_urls
 
@@ -78,6 +79,10 @@ def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
