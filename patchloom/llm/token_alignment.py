@@ -20,11 +20,12 @@ inverted pair bitmaps:
    pair's postings are spread over tasks, each with the counts of its own pairs.
 4. A document's scores from all its pairs are added up block by block.
 
-Both tokenizers treat a text independently before and behind a space that
-follows a character other than white space: no pre-token of A and no piece of B
-goes on there (``Aligner`` checks B's pieces). So texts are cut there, and each distinct
-part is tokenized and aligned once for a while (``MEMO`` parts are remembered). Tests compare this with
-whole texts. U+2581 in a text is a space to B, so such texts never equal B's bytes.
+Both tokenizers treat a text independently before and behind a space or a line
+end that follows a character other than white space: no pre-token of A and no
+piece of B goes on there (``Aligner`` checks B's pieces). So texts are cut there,
+and each distinct part is tokenized and aligned once for a while (the last
+``MEMO`` to 2 ``MEMO`` parts are remembered). Tests compare this with whole
+texts. U+2581 in a text is a space to B, so such texts never equal B's bytes.
 
 Defined results: a text that is null or empty, or whose joined token bytes differ from space and
 text for A or B, has no tokens: zeros and an empty string; rows without a doc_id are left out, also
@@ -34,7 +35,7 @@ of the counts; repeated rows each count and each give a row; other columns are n
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from itertools import chain
 
@@ -56,19 +57,52 @@ BUCKETS = 16
 #: Blocks in a run, on average: a task that gives scores reads one bucket of these.
 RUN_BLOCKS = 64
 #: Distinct parts of texts that a task remembers; then it starts anew.
-MEMO = 60_000
+MEMO = 200_000
 #: Longest part that is remembered.
 MEMO_CHARS = 64
 
-_INNER = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+#: How byte-level tokenizers cut a text before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space before a space or line end; without it every one of these begins a part.
+_INNER = re.compile(r"\s[ \n]|\x1f")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def parts_of(text: str) -> list[str]:
-    """The parts of space + text, each without its first space."""
-    if _INNER.search(" " + text):
-        return [p[1:] for p in _CUT.split(" " + text)]
-    return text.split(" ")
+    """The parts of space + text; each begins with a space or a line end."""
+    text = " " + text
+    if _INNER.search(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\x1f ").replace("\n", "\x1f\n")[1:].split("\x1f")
+
+
+def _byte_encoder(path: str):
+    """A function: text -> ids of the byte-level tokenizer in the file, and its tokens' bytes by id.
+
+    If ids are in the order of the merges, which is so for the usual vocabularies,
+    the vocabulary itself serves as the merges' ranks for a faster encoder with
+    the same result; otherwise the file's tokenizer is used as it is.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        content = json.load(f)
+    byte = {c: n for n, c in enumerate(_byte_letters())}
+    special = {t["content"] for t in content["added_tokens"]}
+    raw = {t: t.encode() if t in special else bytes(byte[c] for c in t) for t in content["model"]["vocab"]}
+    vocab, split = content["model"]["vocab"], content["pre_tokenizer"]
+    table = {i: raw[t] for t, i in vocab.items()} | {t["id"]: t["content"].encode() for t in content["added_tokens"]}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in content["model"]["merges"]]
+    order = [vocab["".join(m)] for m in merges]
+    usual = split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if usual and content["normalizer"] is None and order == list(range(256, 256 + len(order))):
+        import tiktoken
+
+        ranks = {raw[t]: i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, table
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, table
 
 
 class Aligner:
@@ -76,55 +110,62 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a, bytes_a = _byte_encoder(path_a)
+        self.n_a = max(bytes_a) + 1
+        self.bytes_a = [bytes_a.get(i, b"") for i in range(self.n_a)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.n_a = self.a.get_vocab_size()
-        byte = {c: n for n, c in enumerate(_byte_letters())}
-        self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        if any(re.search("[^▁]▁", p) for p in pieces):
-            raise ValueError("a piece of the second tokenizer goes on behind a space")
+        if any(re.search("[^▁]▁|\n", p) for p in pieces):
+            raise ValueError("a piece of the second tokenizer goes on behind a space or line end")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.names_a, self.names_b = list(map(str, range(self.n_a))), list(map(str, range(len(pieces))))
         self.space = self.b.piece_to_id("▁")
         self.memo: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
-    def _aligned(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = (" " + part).encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
             return None
-        groups, links = [], []
-        i = j = at_a = at_b = first_a = first_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(self.bytes_a[a[i]])
-                i += 1
-            else:
-                at_b += len(self.bytes_b[b[j]])
+        groups, links, left, right = [], [], [], []
+        end_a = end_b = j = 0
+        for x in a:
+            end_a += self.sizes_a[x]
+            left.append(self.names_a[x])
+            while end_b < end_a:
+                y = b[j]
+                end_b += self.sizes_b[y]
+                right.append(self.names_b[y])
                 j += 1
-            if at_a == at_b:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                links.append(b[j - 1] * self.n_a + a[i - 1])
-                first_a, first_b = i, j
+            if end_a == end_b:
+                groups.append(f"{','.join(left)}|{','.join(right)}")
+                links.append(y * self.n_a + x)
+                left, right = [], []
         return len(a), len(b), len(groups), ";".join(groups), links
 
     def parts(self, parts: set[str]) -> dict[str, tuple | None]:
         """For each part: (tokens of A, of B, groups, the groups' text, numbers of the linked pairs), or None if bytes differ."""
         if len(self.memo) > MEMO:
-            self.memo = {}
-        known = self.memo
-        new = [p for p in parts if p not in known]
-        out = {}
+            self.memo, self.older = {}, self.memo
+        known, older, out, new = self.memo, self.older, {}, []
+        for p in parts:
+            if p in known:
+                out[p] = known[p]
+            elif p in older:
+                out[p] = known[p] = older[p]
+            else:
+                new.append(p)
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
-            a = self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            b = self.b.encode(some, num_threads=1)
-            for p, x, y in zip(some, a, b, strict=True):
-                (known if len(p) <= MEMO_CHARS else out)[p] = self._aligned(p, x.ids, y if p else [self.space])
-        return known if not out else known | out
+            # a space is put before each: the part's own, or one that is a token by itself before a line end
+            b = self.b.encode([p[1:] if p[0] == " " else p for p in some], num_threads=1)
+            for p, y in zip(some, b, strict=True):
+                found = self._aligned(p.encode(), self.a(p), y[1:] if p[0] != " " else y if len(p) > 1 else [self.space])
+                out[p] = found
+                if len(p) <= MEMO_CHARS:
+                    known[p] = found
+        return out
 
 
 def _byte_letters() -> list[str]:
@@ -318,9 +359,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, text: str = "tex
     documents: doc_id, n_a, n_b, n_groups, n_links, groups_sha256 [, groups], n_best, count_sum: one row for each row of ``docs`` with a doc_id.
     pairs: a_id, b_id, n_docs, n_links, best: a row for each linked pair of ids; ``best`` if no other pair of its B id has more links.
     """
-    from tokenizers import Tokenizer
-
-    n_a = Tokenizer.from_file(path_a).get_vocab_size()
+    n_a = max(_byte_encoder(path_a)[1]) + 1
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     rows = staged(_tokenized(source, path_a, path_b, keep_groups), "token_postings")
     blobs = rows.filter("bucket is not null").select("block", "bucket", "blob")

@@ -71,7 +71,7 @@ def expected(rows, plain):
 
 
 def test_parts_equal_whole_texts(plain):
-    letters = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "é", "ß", "中", "\x1c", "\xa0", " ", "'s", "1", "<s>", "ﬁ", "\x00", "!", "\r", "<|endoftext|>", "᠎", "﻿", "😀", "​", "<0x41>"]
+    letters = ["a", "b", "the", "ing", " ", "  ", "\n", "\n", "\r\n", "\t", "é", "ß", "中", "\x1c", "\xa0", " ", "'s", "1", "<s>", "ﬁ", "\x00", "!", "\r", "<|endoftext|>", "᠎", "﻿", "😀", "​", "<0x41>"]
     r, aligner = random.Random(5), T.Aligner(A, B)
     for _ in range(6000):
         text = "".join(r.choice(letters) for _ in range(r.randrange(1, 16)))
