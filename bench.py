@@ -90,7 +90,7 @@ def session_workflow(spark, sf_dir: str) -> dict:
     corpus = DiffCorpus(diffs, LoadOptions()).persist()
     stats = corpus.stats.collect()
     out["load"] = round(time.perf_counter() - t, 3)
-    lines = int(corpus.sections.agg(F.sum("n_raw")).first()[0])
+    lines = int(corpus.section_index.agg(F.sum("n_raw")).first()[0])
     mb = diffs.agg(F.sum(F.length("content"))).first()[0] / 1e6
     out["lines_loaded"], out["mb_loaded"], out["diffs"] = lines, round(mb, 2), n_diffs
     out["load_lines_per_sec"] = round(lines / out["load"])

@@ -1,9 +1,14 @@
 """Chunk assembly (E1/E2 on sections, E6, D2-D5, D7).
 
-Packing sees only ``(diff_id, sec, n_lines)``. Normal slots are assembled by a
-group-by on ``(diff_id, slot)`` whose inputs are bounded by the chunk size;
-oversized sections become their pieces in place (``split_oversized``).
-Chunk numbers are a row number over ``(slot, sub)`` per diff.
+Facts and text are kept apart. Packing, numbering and all metadata work on slim
+facts, one row per kept section without its text (``section_facts``); an
+oversized section brings the bounds of its pieces with it. Chunk texts are made
+only when they are asked for (``chunk_texts``): the chunk list of a diff is one
+small row, joined to the diff by ``diff_id``, and the texts are cut out of the
+diff in its own row, so section texts are never shuffled, folded or cached.
+
+Giant diffs, whose sections come from a line table, are assembled by
+``build_chunks`` from gathered sections.
 """
 
 from __future__ import annotations
@@ -11,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.functions import text as T
 from patchloom.operators.pack import pack
-from patchloom.operators.split import split_oversized
+from patchloom.operators.split import PIECES, let, parent_file, piece_bounds, piece_texts, split_oversized
 
 CHUNK_COLUMNS = ["diff_id", "chunk", "files", "lines", "parent_file", "sub_chunk_index", "content"]
+FACT_COLUMNS = ["diff_id", "sec", "files", "n_lines", "header_len", "pieces"]
+
+SLOTS_PER_BLOCK = 100_000
 
 
 def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
@@ -24,26 +33,73 @@ def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
         "diff_id", "sec", "slot")
 
 
-SLOTS_PER_BLOCK = 100_000
+def section_facts(kept: DataFrame, max_lines: int) -> DataFrame:
+    """The kept sections (with text) as slim facts: ``FACT_COLUMNS``; ``pieces`` of oversized sections only."""
+    pieces = piece_bounds(T.split_lines("text"), F.col("header_len"), F.col("n_lines"), max_lines)
+    return kept.select("diff_id", "sec", "files", "n_lines", "header_len",
+                       F.when(F.col("n_lines") > max_lines, pieces).alias("pieces"))
 
 
-def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slots: DataFrame | None = None,
-                 giant: bool = False, extra_pieces: DataFrame | None = None, **kw) -> DataFrame:
-    """All chunks of the kept sections: ``CHUNK_COLUMNS`` (+ ``slot``, ``sub``).
+def slots_of(facts: DataFrame, max_lines: int) -> DataFrame:
+    """A row per slot: ``(diff_id, slot, secs, files, lines, header_len, pieces)``.
+
+    In the row regime a diff's sections come out of one row, so their facts fit
+    in a task as well: each diff is folded, without looking for long groups first.
+    Everything is keyed by ``diff_id`` first, so no exchange follows the one that
+    partitioned the diffs.
+    """
+    s = pack(facts, ["diff_id"], ["sec"], "n_lines", max_lines, max_fold_items=None)
+    # sort_array + field projection: no lambdas, so these stay out of the interpreter
+    ordered = F.sort_array(F.collect_list(F.struct("sec", "files")))
+    return s.groupBy("diff_id", "slot").agg(
+        ordered.getField("sec").alias("secs"),
+        F.array_distinct(F.flatten(ordered.getField("files"))).alias("files"),
+        F.sum("n_lines").cast("bigint").alias("lines"),
+        F.max("header_len").alias("header_len"),  # of the only section, if the slot has pieces
+        F.first("pieces", ignorenulls=True).alias("pieces"))
+
+
+def chunk_list(slots: DataFrame) -> DataFrame:
+    """Chunk metadata, numbered: ``CHUNK_COLUMNS`` without content, with ``slot``, ``secs``, ``header_len``, ``s``, ``e``."""
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.col("lines"))).cast(PIECES)
+    is_big = F.col("pieces").isNotNull()
+    x = slots.withColumn("__parent", F.when(is_big, parent_file()))
+    x = x.select("diff_id", "slot", "secs", "files", "header_len", "__parent", F.size("pieces").alias("__n"),
+                 F.posexplode(F.coalesce("pieces", whole)).alias("__k", "__p"))
+    num = F.row_number().over(Window.partitionBy("diff_id").orderBy("slot", "__k")).cast("bigint")
+    return x.select("diff_id", num.alias("chunk"), "files", F.col("__p.lines").alias("lines"), F.col("__parent").alias("parent_file"),
+                    F.when(F.col("__n") > 1, F.col("__k") + 1).cast("int").alias("sub_chunk_index"),
+                    "slot", "secs", "header_len", F.col("__p.s").alias("s"), F.col("__p.e").alias("e"))
+
+
+def chunk_texts(diffs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``CHUNK_COLUMNS`` of the chunks in ``listed`` (a ``chunk_list``): texts come straight from ``diffs(diff_id, content)``."""
+    fields = ["chunk", "s", "e", "files", "lines", "parent_file", "sub_chunk_index"]
+    slots = listed.groupBy("diff_id", "slot").agg(
+        F.first("secs").alias("secs"), F.first("header_len").alias("header_len"), F.sort_array(F.collect_list(F.struct(*fields))).alias("chunks"))
+    plan = slots.groupBy("diff_id").agg(F.collect_list(F.struct("secs", "header_len", "chunks")).alias("slots"))
+    d = diffs.select("diff_id", "content").join(plan, "diff_id")
+
+    def with_texts(parts):
+        return F.transform("slots", lambda x: F.struct(
+            x["header_len"].alias("h"), x["chunks"].alias("chunks"),
+            F.concat_ws("\n\n", F.transform(x["secs"], lambda k: F.element_at(parts, k + 1))).alias("text")))
+
+    d = d.select("diff_id", F.inline(let(T.split_sections(T.normalized_text("content")), with_texts)))
+    texts = piece_texts(F.col("text"), F.col("h"), F.col("chunks"))
+    d = d.select("diff_id", F.explode(F.arrays_zip(F.col("chunks"), texts.alias("content"))).alias("__z"))
+    return d.select("diff_id", *[F.col(f"__z.chunks.{c}").alias(c) for c in CHUNK_COLUMNS[1:-1]], F.col("__z.content").alias("content"))
+
+
+def build_chunks(kept: DataFrame, max_lines: int, slots: DataFrame, with_content: bool = True,
+                 extra_pieces: DataFrame | None = None) -> DataFrame:
+    """Giant diffs: all chunks of the kept sections (with text): ``CHUNK_COLUMNS`` (+ ``slot``, ``sub``).
 
     ``extra_pieces`` are pieces of oversized sections split elsewhere (rows
     shaped like ``split_oversized`` output; their sections are not in ``kept``)."""
-    if slots is None:
-        # row regime: the kept rows (text included) go through the fold themselves,
-        # so each section comes back with its slot inside the diff's partition -
-        # no join, and no exchange after the one that partitioned the diffs
-        s = pack(kept, ["diff_id"], ["sec"], "n_lines", max_lines, unique_order=True, **kw)
-        slots = s.select("diff_id", "sec", "slot")
-    else:
-        s = kept.join(slots, ["diff_id", "sec"])
+    s = kept.join(slots, ["diff_id", "sec"])
     small = s.where(F.col("n_lines") <= max_lines)
     big = s.where(F.col("n_lines") > max_lines)
-    # sort_array + field projection: no lambdas, so these stay out of the interpreter
     ordered_texts = F.sort_array(F.collect_list(F.struct("sec", "text")))
     ordered_files = F.sort_array(F.collect_list(F.struct("sec", "files")))
     aggs = [
@@ -63,16 +119,13 @@ def build_chunks(kept: DataFrame, max_lines: int, with_content: bool = True, slo
         "diff_id", "slot", "sub", "files", "lines", "parent_file", "sub_chunk_index",
         *(["content"] if with_content else []))
     allc = normal.unionByName(pieces)
-    if giant:
-        # number slim (slot, sub) rows in slot blocks, then join the numbers back:
-        # no task ever holds all chunks (or their content) of one diff
-        from patchloom.operators.pack_parallel import running_count
-        keys = allc.select("diff_id", "slot", "sub")
-        nums = running_count(keys, ["diff_id"], F.floor(F.col("slot") / SLOTS_PER_BLOCK), ["slot", "sub"], "chunk")
-        return allc.join(nums.select("diff_id", "slot", "sub", F.col("chunk").cast("bigint").alias("chunk")),
-                         ["diff_id", "slot", "sub"])
-    num = F.row_number().over(Window.partitionBy("diff_id").orderBy("slot", "sub")).cast("bigint")
-    return allc.withColumn("chunk", num)
+    # number slim (slot, sub) rows in slot blocks, then join the numbers back:
+    # no task ever holds all chunks (or their content) of one diff
+    from patchloom.operators.pack_parallel import running_count
+    keys = allc.select("diff_id", "slot", "sub")
+    nums = running_count(keys, ["diff_id"], F.floor(F.col("slot") / SLOTS_PER_BLOCK), ["slot", "sub"], "chunk")
+    return allc.join(nums.select("diff_id", "slot", "sub", F.col("chunk").cast("bigint").alias("chunk")),
+                     ["diff_id", "slot", "sub"])
 
 
 def summary_col() -> F.Column:

@@ -138,7 +138,6 @@ class LineDiffCorpus(DiffCorpus):
     def __init__(self, lines: DataFrame, options: LoadOptions | None = None,
                  max_section_lines: int = MAX_SECTION_LINES, **kw):
         super().__init__(lines.select("diff_id").distinct(), options, **kw)
-        self.giant = True
         self.lines = lines
         self.max_section_lines = max_section_lines
 
@@ -229,12 +228,24 @@ class LineDiffCorpus(DiffCorpus):
     @cached_property
     def chunks(self) -> DataFrame:
         from patchloom.operators import chunks as C
-        return C.build_chunks(self.kept, self.options.max_chunk_lines, slots=self.slots, giant=True,
-                              extra_pieces=self.giant_pieces)
+        return C.build_chunks(self.kept, self.options.max_chunk_lines, self.slots, extra_pieces=self.giant_pieces)
+
+    @cached_property
+    def chunk_meta(self) -> DataFrame:
+        """The same plan with ``content`` pruned by Catalyst."""
+        return self.chunks.drop("content")
+
+    @cached_property
+    def section_index(self) -> DataFrame:
+        return self.filtered
+
+    def _chunk(self, diff_id: str, chunk_number: int) -> DataFrame:
+        return self.chunks.where((F.col("diff_id") == diff_id) & (F.col("chunk") == chunk_number))
 
 
 def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
     """Pieces (``split_oversized`` columns) of oversized sections too long to gather."""
+    from patchloom.operators.split import parent_file
     from patchloom.operators.split_parallel import cut_starts, pieces_of
     g = ["diff_id", "sec"]
     # giant sections are few (each has > max_section_lines lines): broadcast their
@@ -255,8 +266,6 @@ def split_giant(nl: DataFrame, giant: DataFrame, max_lines: int) -> DataFrame:
                                         F.count_if(T.is_nonblank("line")).cast("bigint").alias("lines"))
     npieces = _small_keys(pieces.groupBy(*g).agg(F.max("piece").alias("pieces")).checkpoint())
     out = agg.join(npieces, g).join(meta, g)
-    parent = F.when(F.size("files") == 1, F.element_at("files", 1)).otherwise(
-        F.concat(F.size("files").cast("string"), F.lit(" files")))
     return out.select(*g, F.col("piece").cast("int").alias("sub"), F.col("pieces").cast("int").alias("pieces"),
-                      "files", "lines", parent.alias("parent_file"),
+                      "files", "lines", parent_file().alias("parent_file"),
                       F.when(F.col("pieces") > 1, F.col("piece")).cast("int").alias("sub_chunk_index"), "content")

@@ -16,8 +16,9 @@ Same rule as ``pack`` (see there), computed without ever gathering a group:
 Every step is a join or window over bounded partitions; levels are
 checkpointed to the session's checkpoint folder, which also pins the
 range-partition block ids against recomputation after executor loss.
-Exact for integer weights (and integer-valued doubles); for fractional
-doubles the prefix sums may round differently from a sequential sum.
+Weights are whole numbers (``pack.weight_units``) and rows are dealt by ranges of
+the fold's total order, so the slots are the fold's. Prefix sums are 64-bit
+while no group can pass that, else 38-digit decimals.
 """
 
 from __future__ import annotations
@@ -108,20 +109,23 @@ def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int) ->
     return starts
 
 
-def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, slot_col: str = "slot",
+def pack_parallel(df: DataFrame, group_cols, order_cols, cap: int, slot_col: str = "slot",
                   rows_per_block: int = ROWS_PER_BLOCK, n_rows: int | None = None,
                   max_group: int | None = None) -> DataFrame:
+    """``df`` (weights in units: column ``__w``) with ``slot_col`` added; ``order_cols`` is the total order."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     g = group_cols
     if n_rows is None or max_group is None:
         st = df.groupBy(*g).count().agg(F.sum("count"), F.max("count")).first()
         n_rows, max_group = int(st[0] or 0), int(st[1] or 0)
     nb = _blocks(n_rows, rows_per_block)
-    capl = F.lit(cap)
+    # no weight passes cap + 1
+    kind = "bigint" if max_group * (cap + 1) < 1 << 62 else "decimal(38,0)"
+    capl = F.lit(cap).cast(kind)
 
-    # 1. positions and prefix sums (rows keep their payload; ties on the order key go by weight)
-    payload = [c for c in df.columns if c not in g]
-    s = _ranged(df.select("*", F.col(weight_col).alias("__w")), g, order_cols + ["__w"], nb)
+    # 1. positions and prefix sums (rows keep their payload)
+    payload = [c for c in df.columns if c not in g and c != "__w"]
+    s = _ranged(df.withColumn("__w", F.col("__w").cast(kind)), g, order_cols, nb)
     s = _running(s, g, "__blk", "__rid", F.lit(1), "__pos", "sum")
     s = _running(s, g, "__blk", "__rid", F.col("__w"), "__P", "sum")
     items = s.select(*g, *payload, F.col("__pos").cast("bigint").alias("__pos"), "__w",
@@ -156,4 +160,4 @@ def pack_parallel(df: DataFrame, group_cols, order_cols, weight_col: str, cap, s
     it = items.select(*g, *payload, "__pos").join(marks, g + ["__pos"], "left")
     it = it.withColumn("__blk", F.floor((F.col("__pos") - 1) / F.lit(rows_per_block)))
     it = _running(it, g, "__blk", "__pos", F.coalesce("__m", F.lit(0)), slot_col, "sum")
-    return it.select(*df.columns, F.col(slot_col).cast("bigint").alias(slot_col))
+    return it.select(*g, *payload, F.col(slot_col).cast("bigint").alias(slot_col))

@@ -101,6 +101,59 @@ def duplicate_diffs(spark, sf_dir):
         F.count("*").cast("bigint").alias("n")).where("n > 1")
 
 
+# --- A4: the corpus loaded, edited and loaded again ------------------------
+_ADDED = "\ndiff --git a/added/{d}.py b/added/{d}.py\n@@ -0,0 +1,2 @@\n+first\n+second"
+_EDITED_SQL = (r"CAST(regexp_extract(diff_id, '^src(\d+)', 1) AS INTEGER) % 2 = 1", "'" + _ADDED.replace("\n", "' || chr(10) || '").replace("{d}", "' || diff_id || '") + "'")
+_EDITED_CORPUS = (O.CORPUS.rsplit("diffs AS (", 1)[0] + "diffs_before AS (" + O.CORPUS.rsplit("diffs AS (", 1)[1]
+                  + f", diffs AS (SELECT diff_id, CASE WHEN {_EDITED_SQL[0]} THEN content || {_EDITED_SQL[1]} ELSE content END AS content FROM diffs_before)")
+
+
+def _reloaded(spark, sf_dir):
+    """A store that loaded the corpus, then edits of the odd sources' diffs, then late arrivals of what it had."""
+    import datetime
+    import uuid
+
+    from patchloom.session import ensure_checkpoint_dir
+    from patchloom.sources.versions import CorpusStore
+
+    store = CorpusStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", n_buckets=16)
+    at = lambda day: F.lit(datetime.datetime(2024, 1, day)).alias("modification_time")
+    first = load_corpus(spark, sf_dir)
+    odd = F.regexp_extract("diff_id", r"^src(\d+)", 1).cast("int") % 2 == 1
+    parts = _ADDED.split("{d}")
+    added = F.concat(*[x for p in parts for x in (F.lit(p), F.col("diff_id"))][:-1])
+    edited = first.where(odd).select("diff_id", F.concat("content", added).alias("content"), at(3))
+    options = LoadOptions(max_chunk_lines=MAIN_MAX)
+    store.load(first.select("diff_id", "content", at(2)), options)
+    store.load(edited, options)
+    store.load(first.select("diff_id", "content", at(1)), options)  # older versions: nothing to do
+    return store
+
+
+@register("reload_chunks", O.with_(_EDITED_CORPUS, O.LINES, O.kept_cte(), O.chunk_ctes(MAIN_MAX)) + """
+SELECT diff_id, chunk, files, CAST(lines AS BIGINT) AS lines, summary, parent_file, md5(content) AS content_md5 FROM chunks""")
+def reload_chunks(spark, sf_dir):
+    store = _reloaded(spark, sf_dir)
+    texts = store.table("chunks").select("diff_id", "chunk", F.md5("content").alias("content_md5"))
+    listed = store.list_chunks().select("diff_id", "chunk", F.array_join("files", ", ").alias("files"), "lines", "summary", "parent_file")
+    return listed.join(texts, ["diff_id", "chunk"])
+
+
+@register("reload_registry", O.with_(_EDITED_CORPUS, O.LINES, O.kept_cte(), O.chunk_ctes(MAIN_MAX)) + """
+SELECT b.diff_id, CAST(v.version AS BIGINT) AS version, CAST(v.version AS BIGINT) AS generation,
+       b.diff_id || '#' || substr(sha256(CASE WHEN v.version = 1 THEN b.content ELSE d.content END), 1, 16) AS content_key,
+       CASE WHEN EXISTS (SELECT 1 FROM chunks c WHERE c.diff_id = b.diff_id) THEN 'ok' ELSE 'all_filtered' END AS status
+FROM diffs_before b JOIN diffs d USING (diff_id) JOIN (VALUES (1), (2)) v(version) ON v.version = 1 OR d.content <> b.content""")
+def reload_registry(spark, sf_dir):
+    return _reloaded(spark, sf_dir).table("registry").select("diff_id", "version", "generation", "content_key", "status")
+
+
+@register("overview_sessions", O.with_(_EDITED_CORPUS, O.LINES, O.kept_cte(), O.chunk_ctes(MAIN_MAX)) + """
+SELECT diff_id, CAST(chunks_count AS BIGINT) AS chunks, CAST(total_files AS BIGINT) AS files, CAST(total_lines AS BIGINT) AS total_lines FROM stats""")
+def overview_sessions(spark, sf_dir):
+    return _reloaded(spark, sf_dir).sessions()
+
+
 # --- B: parsing -----------------------------------------------------------
 _KIND_SQL = r"""CASE WHEN regexp_matches(line, '^diff --git a/(.*) b/(.*)$') THEN 'header'
   WHEN regexp_matches(line, '^index [a-f0-9]+\.\.[a-f0-9]+') THEN 'index'
@@ -235,6 +288,41 @@ def pack_lineitem(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "slot")
 
 
+def _pack_long_oracle(table, group, items, cap_units, rn_order) -> str:
+    """Next-fit over exact prefix sums: each item's next slot by an as-of join, then a walk from slot to slot."""
+    g = ", ".join(group)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in group)
+    return f"""WITH RECURSIVE items AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY {rn_order}) AS rn FROM ({items})),
+sums AS (SELECT {g}, rn, u, CAST(sum(u) OVER (PARTITION BY {g} ORDER BY rn) AS HUGEINT) AS p FROM items),
+ends AS (SELECT {g}, p, min(rn) AS rn FROM sums GROUP BY {g}, p),
+nexts AS MATERIALIZED (SELECT {", ".join("f." + c for c in group)}, f.rn, CASE WHEN f.u > {cap_units} THEN f.rn + 1 ELSE n.rn END AS nx
+  FROM sums f ASOF LEFT JOIN ends n ON {on("n", "f")} AND f.p - f.u + {cap_units} < n.p),
+opens({g}, rn) AS (
+  SELECT {g}, CAST(1 AS BIGINT) FROM items GROUP BY {g}
+  UNION ALL
+  SELECT {", ".join("o." + c for c in group)}, x.nx FROM opens o JOIN nexts x ON {on("x", "o")} AND x.rn = o.rn WHERE x.nx IS NOT NULL
+)
+SELECT i.* EXCLUDE (u, rn), CAST(count(o.rn) OVER (PARTITION BY {", ".join("i." + c for c in group)} ORDER BY i.rn) AS BIGINT) AS slot
+FROM items i LEFT JOIN opens o ON {on("o", "i")} AND o.rn = i.rn"""
+
+
+REVENUE_CAP = 2_500_000.0
+REVENUE_FOLD = 1_000
+
+
+@register("pack_revenue", _pack_long_oracle(
+    "lineitem", ["l_returnflag", "l_linestatus"], """
+  SELECT l_returnflag, l_linestatus, l_shipdate, l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue,
+         CAST(round(l_extendedprice * (1 - l_discount) * 1000000) AS BIGINT) AS u FROM lineitem""",
+    int(REVENUE_CAP * 10**6), "l_shipdate, revenue, l_orderkey, l_linenumber"))
+def pack_revenue(spark, sf_dir):
+    """Fractional weights, ties on the order key, and groups on both sides of the fold's limit."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_returnflag", "l_linestatus", "l_shipdate", "l_orderkey", "l_linenumber",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    return pack(li, ["l_returnflag", "l_linestatus"], ["l_shipdate"], "revenue", REVENUE_CAP, max_fold_items=REVENUE_FOLD)
+
+
 @register("oversized_sections", O.chunks_sql(MAIN_MAX, """
 SELECT diff_id, CAST(sec AS BIGINT) AS sec, CAST(n_lines AS BIGINT) AS n_lines FROM bigsec"""))
 def oversized_sections(spark, sf_dir):

@@ -19,17 +19,18 @@ from patchloom.options import LoadOptions, check_chunk_number, check_pattern
 class DiffCorpus:
     """All tables of a corpus of diffs, built lazily from ``diffs(diff_id, content)``.
 
-    Nothing runs until an action; ``persist()`` keeps the section and chunk
-    tables for repeated lookups (they are recomputable from lineage).
+    Nothing runs until an action. Facts (sections, chunk list, statistics) are
+    derived without text past the first row-wise step; ``chunks`` adds the texts,
+    cut out of the diffs by a join on ``diff_id``. ``persist()`` keeps the facts
+    for repeated lookups (recomputable from lineage), not the texts.
     """
 
     def __init__(self, diffs: DataFrame, options: LoadOptions | None = None,
                  max_fold_items: int = DEFAULT_MAX_FOLD_ITEMS, cache_kept: bool = True):
         self.diffs = diffs
         self.options = options or LoadOptions()
-        self.max_fold_items = max_fold_items
+        self.max_fold_items = max_fold_items  # of the line regime; a row's sections are always folded
         self.cache_kept = cache_kept
-        self.giant = False
         self._persisted: list[DataFrame] = []
 
     @classmethod
@@ -49,48 +50,46 @@ class DiffCorpus:
 
     @cached_property
     def kept(self) -> DataFrame:
-        """Sections that pass the filters. Packing reads these twice (a group-size
-        check, then the fold) and chunk assembly a third time, so by default the
-        table is persisted (memory, spilling to disk; recomputable from lineage)."""
-        k = self.filtered.where(F.col("drop_reason").isNull()).drop("drop_reason")
-        if self.cache_kept:
-            k = k.persist(StorageLevel.MEMORY_AND_DISK)
-            self._persisted.append(k)
-        return k
+        """Sections that pass the filters, with their text."""
+        return self.filtered.where(F.col("drop_reason").isNull()).drop("drop_reason")
 
     @cached_property
-    def slots(self) -> DataFrame:
-        """``(diff_id, sec, slot)``: packing runs once per corpus; the result is tiny."""
-        s = C.section_slots(self.kept, self.options.max_chunk_lines, max_fold_items=self.max_fold_items)
-        if self.cache_kept:
-            s = s.persist(StorageLevel.MEMORY_AND_DISK)
-            self._persisted.append(s)
-        return s
+    def facts(self) -> DataFrame:
+        """The kept sections without text; oversized ones with the bounds of their pieces."""
+        return C.section_facts(self.kept, self.options.max_chunk_lines)
 
     @cached_property
-    def chunks(self) -> DataFrame:
-        return C.build_chunks(self.kept, self.options.max_chunk_lines, max_fold_items=self.max_fold_items)
+    def chunk_list(self) -> DataFrame:
+        return C.chunk_list(C.slots_of(self.facts, self.options.max_chunk_lines))
 
     @cached_property
     def chunk_meta(self) -> DataFrame:
-        """Chunks without content: the same plan with ``content`` pruned by Catalyst."""
-        return self.chunks.drop("content")
+        """Chunks without content."""
+        return self.chunk_list.select(*C.CHUNK_COLUMNS[:-1])
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return C.chunk_texts(self.diffs, self.chunk_list)
 
     @cached_property
     def stats(self) -> DataFrame:
         return C.diff_stats(self.chunk_meta)
 
-    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "DiffCorpus":
-        for name in ("sections", "chunks"):
-            df = getattr(self, name).persist(level)
-            self.__dict__[name] = df
-            self._persisted.append(df)
-        self.__dict__["chunk_meta"] = self.chunks.drop("content")
-        self.__dict__.pop("kept", None)
-        self.__dict__.pop("filtered", None)
-        self.__dict__.pop("stats", None)
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK, sections: bool = True) -> "DiffCorpus":
+        """Keep the chunk list and the section facts, both without text."""
+        names = ["section_index", "chunk_list"] if sections else ["chunk_list"]
+        for name in names:
+            self.__dict__[name] = getattr(self, name).persist(level)
+            self._persisted.append(self.__dict__[name])
+        for name in ("chunk_meta", "chunks", "stats"):
+            self.__dict__.pop(name, None)
         return self
 
+    @cached_property
+    def section_index(self) -> DataFrame:
+        """All sections without their text, with the reason why a section is dropped."""
+        return self.filtered.drop("text")
+
     def unpersist(self) -> None:
         for df in self._persisted:
             df.unpersist()
@@ -105,11 +104,15 @@ class DiffCorpus:
 
     def get_chunk(self, diff_id: str, chunk_number: int, include_context: bool = True) -> DataFrame:
         check_chunk_number(chunk_number)
-        hit = self.chunks.where((F.col("diff_id") == diff_id) & (F.col("chunk") == chunk_number))
-        return L.render(hit, self.stats, include_context)
+        hit = self._chunk(diff_id, chunk_number)
+        return L.render(hit, self.stats.where(F.col("diff_id") == diff_id), include_context)
+
+    def _chunk(self, diff_id: str, chunk_number: int) -> DataFrame:
+        listed = self.chunk_list.where((F.col("diff_id") == diff_id) & (F.col("chunk") == chunk_number))
+        return C.chunk_texts(self.diffs.where(F.col("diff_id") == diff_id), listed)
 
     def find_chunks(self, pattern: str) -> DataFrame:
         return L.find_chunks(self.chunk_meta, check_pattern(pattern))
 
     def status(self) -> DataFrame:
-        return L.diff_status(self.diffs, self.sections, self.chunk_meta)
+        return L.diff_status(self.diffs, self.section_index, self.chunk_meta)

@@ -2,7 +2,9 @@
 
 import random
 import re
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators.pack import pack
@@ -62,6 +64,45 @@ def test_hot_group_parallel_equals_fold(spark):
     assert [got[(2, i)] for i in range(30)] == next_fit([7] * 30, 100)
 
 
+def test_one_rule_at_any_size(spark):
+    """Fractional weights, ties on the order key, null keys and odd weights: the fold and the parallel path agree."""
+    rnd = random.Random(5)
+    rows = []
+    for g in (None, "a", "b", "c"):
+        for _ in range(600):
+            w = rnd.choice([0.1, 0.2, 0.7, 33.3333333, 1 / 3, 99.999999, 100.0, 100.0000001, 250.5, 0.0])
+            rows.append((g, rnd.randrange(40), w, rnd.choice(["x", "y", None])))
+    rows += [("a", 3, None, "x"), ("a", 4, float("nan"), "y"), ("b", 1, -5.0, "x"), ("b", 2, float("inf"), "y"), ("c", 1, 1e300, None)]
+    df = spark.createDataFrame(rows, "g string, o int, w double, note string").repartition(7)
+
+    def slots(**kw):
+        return sorted(pack(df, ["g"], ["o"], "w", 100.0, **kw).collect(), key=str)
+
+    fold = slots(max_fold_items=None)
+    assert str(fold) == str(slots(max_fold_items=601))  # NaN differs from itself
+    order = lambda r: (r.o, r.w is not None, (r.w != r.w, r.w) if r.w is not None else 0, r.note is not None, r.note or "")
+    for g in (None, "a", "b", "c"):
+        mine = sorted((r for r in fold if r.g == g), key=lambda r: (r.slot, order(r)))
+        assert mine == sorted(mine, key=order)  # slots follow the total order
+        units = [0 if r.w is None or r.w != r.w or r.w < 0 else min(round(min(r.w, 1e6) * 10**6), 10**8 + 1) for r in mine]
+        assert [r.slot for r in mine] == next_fit(units, 10**8)
+
+
+def test_decimal_weights_and_wide_sums(spark):
+    rows = [(1, i, Decimal(f"{i % 7}.{i % 10}{i % 3}")) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, o int, w decimal(20,2)")
+    want = next_fit([int(w * 100) for _, _, w in rows], 1000)
+    for m in (None, 10):
+        got = {r.o: r.slot for r in pack(df, ["g"], ["o"], "w", 10, max_fold_items=m).collect()}
+        assert [got[i] for i in range(400)] == want
+    big = spark.createDataFrame([(1, i, 2**60) for i in range(50)], "g int, o int, w bigint")
+    for m in (None, 10):  # prefix sums pass 64 bits
+        got = {r.o: r.slot for r in pack(big, ["g"], ["o"], "w", 2**61, max_fold_items=m).collect()}
+        assert [got[i] for i in range(50)] == next_fit([2**60] * 50, 2**61)
+    with pytest.raises(ValueError):
+        pack(df, ["g"], ["o"], "w", 2.0**62)
+
+
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
