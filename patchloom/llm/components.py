@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from patchloom.llm.common import staged
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of ``edges`` (a, b).
 
+    The edge tables are written in ``parts`` partitions, where given, so that few edges don't make many small files.
+
     Alternates large-star and small-star steps, each an aggregate and a join on a written edge table; a node of many
     edges is met by partial aggregation and by a join whose other side has one row for it.
     """
@@ -26,10 +28,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    def written(e: DataFrame) -> DataFrame:
+        return staged(e.coalesce(parts) if parts else e, "edges")
+
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = mark(now)
     while True:
-        now = staged(step(now), "edges")
+        now = written(step(now))
         last, seen = seen, mark(now)
         if seen == last:
             break

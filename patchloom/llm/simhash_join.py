@@ -50,6 +50,8 @@ LIST = 20_000
 SHORT = 12
 #: Fingerprints shared by more documents than this are labelled by a broadcast; there is one in so many rows at most.
 COMMON = 1_000
+#: Documents for each partition of the tables written on the way.
+PART_ROWS = 50_000
 #: Rows of a table that may be broadcast (some 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -299,16 +301,17 @@ def near_fingerprints(fps: DataFrame, list_limit: int = LIST) -> DataFrame:
 def simhash_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", list_limit: int = LIST) -> DataFrame:
     """(doc_id long, fingerprint string, component_id long), a row for each row of ``docs`` with a doc_id."""
     marked = staged(fingerprints(docs, text, doc_id), "simhashes")
-    each = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct_simhashes")
-    links = staged(near_fingerprints(each.select("fp"), list_limit), "simhash_links")
-    nodes = staged(connected_components(links).withColumnRenamed("node", "fp"), "simhash_nodes")
+    parts = -(-marked.count() // PART_ROWS) or 1  # of tables with at most a few rows a document
+    each = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).coalesce(parts), "distinct_simhashes")
+    nodes = staged(connected_components(near_fingerprints(each.select("fp"), list_limit), parts).withColumnRenamed("node", "fp").coalesce(parts), "simhash_nodes")
     joined = each.join(nodes, "fp", "left")
     # the smallest doc_id of each component, for the fingerprints whose documents aren't alone
     linked = joined.filter("label is not null")
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     labels = staged(
         linked.join(least, "label").select("fp", "n", "component_id")
-        .unionAll(joined.filter("label is null and n > 1").select("fp", "n", F.col("first").alias("component_id"))),
+        .unionAll(joined.filter("label is null and n > 1").select("fp", "n", F.col("first").alias("component_id")))
+        .coalesce(parts),
         "simhash_labels",
     )
     common = labels.filter(F.col("n") > COMMON).select("fp", F.col("component_id").alias("common_id"))
