@@ -33,20 +33,21 @@ from patchloom.functions import text as T
 from patchloom.operators import filters as FL
 from patchloom.options import LoadOptions
 from patchloom.plans.corpus_plan import DiffCorpus
+from patchloom.sources.files import file_id
 
 MAX_SECTION_LINES = 500_000
 
 _MEANINGFUL_LINE = r"(?sU)^(?:\+(?!\+\+)|-(?!--)).*?" + T.NONBLANK_CHAR
 
 
-def read_diff_lines(spark: SparkSession, path: str, glob: str | None = "*.diff") -> DataFrame:
+def read_diff_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.diff") -> DataFrame:
     """``(diff_id, blk, rid, line)``: ``(blk, rid)`` orders the lines of a file."""
     r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.text(path)
     return df.select(
-        F.col("_metadata.file_path").alias("diff_id"),
+        file_id("_metadata.file_path").alias("diff_id"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("rid"),
         F.make_valid_utf8("value").alias("line"),

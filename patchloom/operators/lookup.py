@@ -82,12 +82,13 @@ def overview(stats: DataFrame) -> DataFrame:
 
 
 def diff_status(diffs: DataFrame, secs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ok / no_diff_content (no section) / all_filtered (no chunk) per diff."""
+    """Ok / no_diff_content (no section) / all_filtered (no chunk) per diff; a ``status`` that ``diffs`` brings goes first."""
     ns = secs.groupBy("diff_id").agg(F.count("*").alias("__s"))
     nc = chunks.groupBy("diff_id").agg(F.count("*").alias("__c"))
-    d = diffs.select("diff_id").join(ns, "diff_id", "left").join(nc, "diff_id", "left")
+    given = F.col("status") if "status" in diffs.columns else F.lit(None).cast("string")
+    d = diffs.select("diff_id", given.alias("__given")).join(ns, "diff_id", "left").join(nc, "diff_id", "left")
     st = (F.when(F.col("__s").isNull(), "no_diff_content").when(F.col("__c").isNull(), "all_filtered").otherwise("ok"))
-    return d.select("diff_id", st.alias("status"))
+    return d.select("diff_id", F.coalesce("__given", st).alias("status"))
 
 
 def chunk_json(chunks: DataFrame) -> DataFrame:

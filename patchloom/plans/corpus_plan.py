@@ -116,3 +116,57 @@ class DiffCorpus:
 
     def status(self) -> DataFrame:
         return L.diff_status(self.diffs, self.section_index, self.chunk_meta)
+
+
+class FileCorpus:
+    """Diff files of any length: rows for those that fit in one, the line table for the others, one set of tables."""
+
+    def __init__(self, rows: DiffCorpus, lines: DiffCorpus | None = None):
+        self.rows, self.lines = rows, lines
+
+    def _both(self, get) -> DataFrame:
+        return get(self.rows) if self.lines is None else get(self.rows).unionByName(get(self.lines))
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self._both(lambda c: c.chunks.select(*C.CHUNK_COLUMNS))
+
+    @property
+    def chunk_meta(self) -> DataFrame:
+        return self._both(lambda c: c.chunk_meta.select(*C.CHUNK_COLUMNS[:-1]))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self._both(lambda c: c.stats)
+
+    def overview(self) -> DataFrame:
+        return L.overview(self.stats)
+
+    def list_chunks(self) -> DataFrame:
+        return L.list_chunks(self.chunk_meta)
+
+    def get_chunk(self, diff_id: str, chunk_number: int, include_context: bool = True) -> DataFrame:
+        return self._both(lambda c: c.get_chunk(diff_id, chunk_number, include_context))
+
+    def find_chunks(self, pattern: str) -> DataFrame:
+        return L.find_chunks(self.chunk_meta, check_pattern(pattern))
+
+    def status(self) -> DataFrame:
+        """A row for every file: ok, no_diff_content, all_filtered, empty or unreadable."""
+        own = self.rows.status()
+        return own if self.lines is None else own.where("status <> 'long'").unionByName(self.lines.status())
+
+
+def load_path(spark, path: str, options: LoadOptions | None = None, glob: str | None = "*.diff", recursive: bool = False,
+              row_bytes: int | None = None) -> FileCorpus:
+    """All diff files under ``path``; files of more than ``row_bytes`` bytes are read as line tables."""
+    from patchloom.operators.line_table import LineDiffCorpus, read_diff_lines
+    from patchloom.sources.files import ROW_BYTES, escaped, read_diff_files
+
+    limit = ROW_BYTES if row_bytes is None else row_bytes
+    diffs = read_diff_files(spark, path, glob, recursive, row_bytes=limit)
+    # names of files that are long each, so few for the bytes they hold
+    long = [r.diff_id for r in diffs.where("status = 'long'").select("diff_id").collect()]
+    lines = LineDiffCorpus(read_diff_lines(spark, [escaped(p) for p in long], None), options) if long else None
+    return FileCorpus(DiffCorpus(diffs, options), lines)
+

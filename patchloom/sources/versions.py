@@ -33,7 +33,7 @@ from patchloom.operators.chunks import CHUNK_COLUMNS, chunk_files, summary_col
 from patchloom.operators.lookup import render
 from patchloom.options import LoadOptions, check_chunk_number, check_pattern
 from patchloom.plans.corpus_plan import DiffCorpus
-from patchloom.sources.files import content_key
+from patchloom.sources.files import NAMED_FILES, _binary, _is_folder, check_path, content_key, escaped, list_files, read_diff_files
 from patchloom.sources.store import DEFAULT_BUCKETS, bucket_of
 
 SCHEMAS = {
@@ -216,6 +216,24 @@ class CorpusStore:
             self._fs.delete(self._path(staging), True)
         return g
 
+    def sync(self, path: str, options: LoadOptions | None = None, glob: str | None = "*.diff", recursive: bool = False) -> int:
+        """Load the files under ``path`` that are new or whose time has changed since they were registered.
+
+        Finds edits in place, which a file stream does not report. Files are listed, not opened, to find the changed
+        ones; a few of these are read by name, many by a scan of the folder.
+        """
+        check_path(self.spark, path)
+        listed = list_files(_binary(self.spark, path, glob if _is_folder(self.spark, path) else None, recursive))
+        known = self.table("registry").groupBy("diff_id").agg(F.max_by(F.struct("modification_time", "options"), "version").alias("old"))
+        same = F.col("old.modification_time").eqNullSafe(F.col("modification_time")) & (F.col("old.options") == options_text(options or LoadOptions()))
+        changed = listed.join(known, "diff_id", "left").where(F.col("old").isNull() | ~same).select("diff_id").checkpoint()
+        some = [r.diff_id for r in changed.limit(NAMED_FILES + 1).collect()]
+        if not some:
+            return self.generation()
+        if len(some) <= NAMED_FILES:
+            return self.load(read_diff_files(self.spark, [escaped(p) for p in some], None), options)
+        return self.load(read_diff_files(self.spark, path, glob, recursive).join(changed, "diff_id", "left_semi"), options)
+
     def _write(self, name: str, g: int, rows: DataFrame) -> None:
         x = rows.withColumn("bucket", bucket_of("diff_id", self.n_buckets)).hint("rebalance", "bucket")
         (x.sortWithinPartitions("bucket", *SORT[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -7,8 +7,11 @@ watermark is needed. Each batch's output goes to ``.../batch_id=<n>`` with
 overwrite, so a batch replayed after a failure rewrites the same folder
 (idempotent, exactly-once results on top of the checkpointed file log).
 
-The file source does not re-read a file modified in place: producers should
-land new names; for in-place edits use the batch reconcile (``sources.files.changed``).
+``ingest_into`` feeds a ``CorpusStore`` instead: the registry keeps the last content key of
+each diff, so a diff that lands again replaces its rows, the newest version counts
+whatever the order of arrival, and a replayed batch changes nothing. The file source reports
+neither edits in place nor zero-byte files; with ``reconcile`` each batch is followed by
+``CorpusStore.sync`` of the folder, which finds both (``sync`` may also be run by itself).
 """
 
 from __future__ import annotations
@@ -59,5 +62,21 @@ def ingest_stream(spark: SparkSession, landing_dir: str, output_dir: str, checkp
     return writer.start()
 
 
+def ingest_into(store, landing_dir: str, checkpoint_location: str, options: LoadOptions | None = None, glob: str = "*.diff",
+                available_now: bool = True, max_files_per_trigger: int | None = None, reconcile: bool = False):
+    """Start a query that loads what lands in a folder into ``store`` (a ``CorpusStore``)."""
+    def load(batch: DataFrame, batch_id: int) -> None:
+        store.load(decode_files(batch), options)
+        if reconcile:
+            store.sync(landing_dir, options, glob)
+
+    reader = store.spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    writer = reader.load(landing_dir).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
 def read_output(spark: SparkSession, output_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(output_dir, table))
