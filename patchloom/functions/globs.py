@@ -83,6 +83,39 @@ def literal_prefix(pattern: str) -> str:
     return "".join(out)
 
 
+def literal_runs(pattern: str) -> list[str]:
+    """The runs of literal characters between wildcards, in order; the last is empty if the pattern ends in a wildcard."""
+    runs, i, n = [""], 0, len(pattern)
+    while i < n:
+        ch = pattern[i]
+        if ch == "[":
+            j = i + 1 + pattern[i + 1:].startswith("!")
+            end = pattern.find("]", j + 1)  # a bracket right behind the opening one is a member
+            if end >= 0:
+                runs.append("")
+                i = end + 1
+                continue
+        if ch in "*?":
+            runs.append("")
+        else:
+            runs[-1] += ch
+        i += 1
+    return runs
+
+
+#: Longest prefix or suffix, and longest inner run, that serve as a key.
+EDGE_KEY, INNER_KEY = 16, 3
+
+
+def literal_key(pattern: str) -> tuple[str, str]:
+    """(kind, key): text that every match has, at its start ('p'), end ('s') or anywhere ('g'); ('n', '') if there is none."""
+    runs = literal_runs(pattern)
+    options = [(len(runs[0][:EDGE_KEY]), "p", runs[0][:EDGE_KEY]), (len(runs[-1][-EDGE_KEY:]), "s", runs[-1][-EDGE_KEY:])]
+    options += [(len(r[:INNER_KEY]), "g", r[:INNER_KEY]) for r in runs]
+    size, kind, key = max(options, key=lambda o: o[0])  # of equal ones the first
+    return (kind, key) if size else ("n", "")
+
+
 def glob_match(col, pattern: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     cond = c.rlike(glob_to_regex(pattern))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.functions.globs import glob_match, glob_to_regex, literal_prefix
+from patchloom.functions.globs import glob_match, glob_to_regex, literal_key
 from patchloom.operators.chunks import chunk_files, summary_col
 
 
@@ -49,25 +47,53 @@ def find_chunks(chunks: DataFrame, pattern: str) -> DataFrame:
 
 
 def patterns_table(spark, patterns) -> DataFrame:
-    """Driver-side translation of a small, fixed list of globs."""
-    rows = [(p, glob_to_regex(p), literal_prefix(p)) for p in patterns]
-    return spark.createDataFrame(rows, "pattern string, regex string, prefix string")
-
-
-def find_chunks_multi(chunks: DataFrame, patterns: DataFrame, max_patterns: int = 10_000) -> DataFrame:
-    """many globs at once. ``patterns(pattern, regex, prefix)`` is a request
-    list of any length: it is broadcast in blocks of about ``max_patterns`` and
-    matched against the distinct paths; the chunks are joined to the matches."""
+    """A request list of globs, translated once: ``(pattern, regex, kind, key)`` (see ``globs.literal_key``)."""
+    import pyarrow as pa
+
+    rows = [(p, glob_to_regex(p), *literal_key(p)) for p in dict.fromkeys(patterns)]
+    columns = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 4
+    return spark.createDataFrame(pa.table(columns, ["pattern", "regex", "kind", "key"]))
+
+
+def match_globs(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(path, pattern)`` for each of ``patterns`` (a ``patterns_table``) that matches a path of ``paths(path)`` (distinct).
+
+    A literal text that a pattern's matches must have is its key: each path is looked up by its own prefixes,
+    suffixes and short inner texts of the lengths that occur, so patterns and paths meet in an equi-join, and the
+    regular expression runs on those pairs alone. Patterns without any literal share one key.
+    """
+    by_regex = patterns.groupBy("regex").agg(F.first("kind").alias("kind"), F.first("key").alias("key"))
+    lengths: dict[str, list[int]] = {}
+    for r in patterns.select("kind", F.length("key").alias("n")).distinct().collect():  # a few dozen at most
+        lengths.setdefault(r.kind, []).append(r.n)
+    path, size = F.col("path"), F.length("path")
+
+    def entry(kind, text):
+        return F.struct(F.lit(kind).alias("kind"), text.alias("key"))
+
+    keys = [F.when(size >= n, entry("p", F.substring(path, 1, n))) for n in lengths.get("p", [])]
+    keys += [F.when(size >= n, entry("s", F.right(path, F.lit(n)))) for n in lengths.get("s", [])]
+    keys += [entry("n", F.lit(""))] * ("n" in lengths)
+    every = F.array_compact(F.array(*keys)) if keys else None
+    def inner_texts(n):
+        return F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: entry("g", F.substring(path, i, F.lit(n))))
+
+    for n in lengths.get("g", []):
+        inner = F.when(size >= n, inner_texts(n))
+        inner = F.coalesce(F.array_distinct(inner), F.array().cast("array<struct<kind:string,key:string>>"))
+        every = inner if every is None else F.concat(every, inner)
+    if every is None:
+        return paths.select("path", F.lit("").alias("pattern")).where("false")
+    looked = paths.select("path", F.inline(every))
+    hits = looked.join(by_regex, ["kind", "key"]).where("path rlike regex").select("path", "regex")
+    return hits.join(patterns.select("pattern", "regex"), "regex").select("path", "pattern")
+
+
+def find_chunks_multi(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
+    """the chunks that hold a file matching one of many globs, by pattern: ``(diff_id, pattern, chunk)``."""
     files = chunk_files(chunks)
-    paths = files.select("path").distinct()
-    blocks = -(-patterns.count() // max_patterns)
-    cond = F.expr("startswith(path, prefix) and path rlike regex")
-    asked = patterns.select("pattern", "regex", "prefix").distinct()
-    found = [
-        paths.join(F.broadcast(asked.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, blocks))) == b)), cond).select("path", "pattern")
-        for b in range(max(1, blocks))
-    ]
-    return files.join(reduce(DataFrame.unionAll, found), "path").select("diff_id", "pattern", "chunk").distinct()
+    found = match_globs(files.select("path").distinct(), patterns)
+    return files.join(found, "path").select("diff_id", "pattern", "chunk").distinct()
 
 
 def overview(stats: DataFrame) -> DataFrame:
