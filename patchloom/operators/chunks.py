@@ -33,22 +33,27 @@ def section_slots(kept: DataFrame, max_lines: int, **kw) -> DataFrame:
         "diff_id", "sec", "slot")
 
 
-def section_facts(kept: DataFrame, max_lines: int) -> DataFrame:
-    """The kept sections (with text) as slim facts: ``FACT_COLUMNS``; ``pieces`` of oversized sections only."""
+def with_pieces(sections: DataFrame, max_lines: int) -> DataFrame:
+    """Sections (with text) and the bounds of the pieces of oversized ones: ``pieces``."""
     pieces = piece_bounds(T.split_lines("text"), F.col("header_len"), F.col("n_lines"), max_lines)
-    return kept.select("diff_id", "sec", "files", "n_lines", "header_len",
-                       F.when(F.col("n_lines") > max_lines, pieces).alias("pieces"))
+    return sections.withColumn("pieces", F.when(F.col("n_lines") > max_lines, pieces))
+
+
+def section_facts(kept: DataFrame, max_lines: int) -> DataFrame:
+    """The kept sections (with text) as slim facts: ``FACT_COLUMNS``."""
+    return with_pieces(kept, max_lines).select(*FACT_COLUMNS)
 
 
-def slots_of(facts: DataFrame, max_lines: int) -> DataFrame:
+def slots_of(facts: DataFrame, max_lines: int, max_fold_items: int | None = None) -> DataFrame:
     """A row per slot: ``(diff_id, slot, secs, files, lines, header_len, pieces)``.
 
     In the row regime a diff's sections come out of one row, so their facts fit
-    in a task as well: each diff is folded, without looking for long groups first.
+    in a task as well: each diff is folded, without looking for long groups first
+    (``max_fold_items``).
     Everything is keyed by ``diff_id`` first, so no exchange follows the one that
     partitioned the diffs.
     """
-    s = pack(facts, ["diff_id"], ["sec"], "n_lines", max_lines, max_fold_items=None)
+    s = pack(facts, ["diff_id"], ["sec"], "n_lines", max_lines, max_fold_items=max_fold_items)
     # sort_array + field projection: no lambdas, so these stay out of the interpreter
     ordered = F.sort_array(F.collect_list(F.struct("sec", "files")))
     return s.groupBy("diff_id", "slot").agg(
@@ -59,25 +64,42 @@ def slots_of(facts: DataFrame, max_lines: int) -> DataFrame:
         F.first("pieces", ignorenulls=True).alias("pieces"))
 
 
-def chunk_list(slots: DataFrame) -> DataFrame:
-    """Chunk metadata, numbered: ``CHUNK_COLUMNS`` without content, with ``slot``, ``secs``, ``header_len``, ``s``, ``e``."""
+def chunk_list(slots: DataFrame, giant: bool = False) -> DataFrame:
+    """Chunk metadata, numbered: ``CHUNK_COLUMNS`` without content, with ``slot``, ``secs``, ``header_len``, ``s``, ``e``.
+
+    With ``giant``, chunks are numbered in blocks of slots, so that no task needs all chunks of a diff.
+    """
     whole = F.array(F.struct(F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.col("lines"))).cast(PIECES)
     is_big = F.col("pieces").isNotNull()
     x = slots.withColumn("__parent", F.when(is_big, parent_file()))
     x = x.select("diff_id", "slot", "secs", "files", "header_len", "__parent", F.size("pieces").alias("__n"),
                  F.posexplode(F.coalesce("pieces", whole)).alias("__k", "__p"))
-    num = F.row_number().over(Window.partitionBy("diff_id").orderBy("slot", "__k")).cast("bigint")
-    return x.select("diff_id", num.alias("chunk"), "files", F.col("__p.lines").alias("lines"), F.col("__parent").alias("parent_file"),
+    if giant:
+        from patchloom.operators.pack_parallel import running_count
+        x = running_count(x, ["diff_id"], F.floor(F.col("slot") / SLOTS_PER_BLOCK), ["slot", "__k"], "__num")
+    else:
+        x = x.withColumn("__num", F.row_number().over(Window.partitionBy("diff_id").orderBy("slot", "__k")))
+    return x.select("diff_id", F.col("__num").cast("bigint").alias("chunk"), "files", F.col("__p.lines").alias("lines"), F.col("__parent").alias("parent_file"),
                     F.when(F.col("__n") > 1, F.col("__k") + 1).cast("int").alias("sub_chunk_index"),
                     "slot", "secs", "header_len", F.col("__p.s").alias("s"), F.col("__p.e").alias("e"))
 
 
-def chunk_texts(diffs: DataFrame, listed: DataFrame) -> DataFrame:
-    """``CHUNK_COLUMNS`` of the chunks in ``listed`` (a ``chunk_list``): texts come straight from ``diffs(diff_id, content)``."""
+def slots_with_chunks(listed: DataFrame) -> DataFrame:
+    """``(diff_id, slot, secs, header_len, chunks)``: the chunks of a ``chunk_list``, by slot."""
     fields = ["chunk", "s", "e", "files", "lines", "parent_file", "sub_chunk_index"]
-    slots = listed.groupBy("diff_id", "slot").agg(
+    return listed.groupBy("diff_id", "slot").agg(
         F.first("secs").alias("secs"), F.first("header_len").alias("header_len"), F.sort_array(F.collect_list(F.struct(*fields))).alias("chunks"))
-    plan = slots.groupBy("diff_id").agg(F.collect_list(F.struct("secs", "header_len", "chunks")).alias("slots"))
+
+
+def cut_chunks(d: DataFrame) -> DataFrame:
+    """``CHUNK_COLUMNS`` from ``(diff_id, chunks, texts)``, two arrays side by side."""
+    d = d.select("diff_id", F.explode(F.arrays_zip("chunks", "texts")).alias("__z"))
+    return d.select("diff_id", *[F.col(f"__z.chunks.{c}").alias(c) for c in CHUNK_COLUMNS[1:-1]], F.col("__z.texts").alias("content"))
+
+
+def chunk_texts(diffs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``CHUNK_COLUMNS`` of the chunks in ``listed`` (a ``chunk_list``): texts come straight from ``diffs(diff_id, content)``."""
+    plan = slots_with_chunks(listed).groupBy("diff_id").agg(F.collect_list(F.struct("secs", "header_len", "chunks")).alias("slots"))
     d = diffs.select("diff_id", "content").join(plan, "diff_id")
 
     def with_texts(parts):
@@ -86,9 +108,7 @@ def chunk_texts(diffs: DataFrame, listed: DataFrame) -> DataFrame:
             F.concat_ws("\n\n", F.transform(x["secs"], lambda k: F.element_at(parts, k + 1))).alias("text")))
 
     d = d.select("diff_id", F.inline(let(T.split_sections(T.normalized_text("content")), with_texts)))
-    texts = piece_texts(F.col("text"), F.col("h"), F.col("chunks"))
-    d = d.select("diff_id", F.explode(F.arrays_zip(F.col("chunks"), texts.alias("content"))).alias("__z"))
-    return d.select("diff_id", *[F.col(f"__z.chunks.{c}").alias(c) for c in CHUNK_COLUMNS[1:-1]], F.col("__z.content").alias("content"))
+    return cut_chunks(d.select("diff_id", "chunks", piece_texts(F.col("text"), F.col("h"), F.col("chunks")).alias("texts")))
 
 
 def build_chunks(kept: DataFrame, max_lines: int, slots: DataFrame, with_content: bool = True,

@@ -53,12 +53,16 @@ def sections(diffs: DataFrame) -> DataFrame:
     n_raw (all lines), header_len (lines before the first hunk; NULL = no hunk),
     is_trivial, is_generated, text.
     """
-    s = split_diffs(diffs).where("sec > 0")
+    return section_columns(split_diffs(diffs).where("sec > 0"), ["diff_id", "sec"])
+
+
+def section_columns(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The facts of sections given by their ``text``, behind their key columns."""
     first = F.substring_index("text", "\n", 1)
     pa, pb = T.header_paths(first)
-    s = s.select("diff_id", "sec", pa.alias("path_a"), pb.alias("path_b"), "text")
+    s = texts.select(*keys, pa.alias("path_a"), pb.alias("path_b"), "text")
     return s.select(
-        "diff_id", "sec", "path_a", "path_b",
+        *keys, "path_a", "path_b",
         T.files_of("path_a", "path_b").alias("files"),
         T.count_nonblank_lines("text").alias("n_lines"),
         T.count_lines("text").alias("n_raw"),

@@ -388,6 +388,39 @@ def list_chunks_lines(spark, sf_dir):
     return _list(lc)
 
 
+def _giant(spark, sf_dir):
+    """The corpus as files, read back as section records (byte ranges of giant diffs)."""
+    import uuid
+
+    from patchloom.operators.section_records import SectionDiffCorpus, read_records
+    from patchloom.session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    load_corpus(spark, sf_dir).select("diff_id", S.T.normalized_text("content")).write.partitionBy("diff_id").text(folder)
+    name = F.regexp_extract("diff_id", "diff_id=([^/]+)/", 1).alias("diff_id")
+    records = read_records(spark, folder, glob=None, recursive=True)
+    return SectionDiffCorpus(records.select(name, "blk", "rid", "value"), LoadOptions(max_chunk_lines=MAIN_MAX))
+
+
+@register("list_chunks_giant", O.chunks_sql(MAIN_MAX, _LIST_SQL))
+def list_chunks_giant(spark, sf_dir):
+    return _list(_giant(spark, sf_dir))
+
+
+@register("chunk_content_giant", O.chunks_sql(MAIN_MAX, """
+SELECT diff_id, chunk, md5(content) AS content_md5, CAST(length(content) AS BIGINT) AS content_len FROM chunks"""))
+def chunk_content_giant(spark, sf_dir):
+    ch = _giant(spark, sf_dir).chunks
+    return ch.select("diff_id", "chunk", F.md5("content").alias("content_md5"), F.length("content").cast("bigint").alias("content_len"))
+
+
+@register("diff_stats_giant", O.chunks_sql(MAIN_MAX, """
+SELECT diff_id, CAST(total_files AS BIGINT) AS total_files, CAST(total_lines AS BIGINT) AS total_lines,
+       CAST(chunks_count AS BIGINT) AS chunks_count FROM stats"""))
+def diff_stats_giant(spark, sf_dir):
+    return _giant(spark, sf_dir).stats
+
+
 @register("list_chunks_split_parallel", O.chunks_sql(SMALL_MAX, _LIST_SQL))
 def list_chunks_split_parallel(spark, sf_dir):
     """Line regime with every oversized section split by the parallel (pointer-doubling) form."""
