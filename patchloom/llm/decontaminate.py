@@ -9,8 +9,10 @@ score if that is lower. So nothing that would be verified is missed. Runs of
 passages are scored first, as they hold all that each passage holds: block bounds,
 then scores and numbers of common words, drop most items; what is left is scored
 passage by passage. Every retrieved passage, best score first, is verified until
-one passes: a leak holds most of the question in order, and of the answer (the
-item's last sentence) a good part. A passage is twice ``size`` words, every half
+one passes: a leak holds most of the question in order and close together, in runs
+of three words or more, and of the answer (the item's last sentence) a good
+part; a question of eight words or more may stand alone. Words scattered over
+a passage of the same vocabulary are no leak. A passage is twice ``size`` words, every half
 ``size``, so an item of up to 1.5 ``size`` words stands whole in one.
 
 The index goes to the tasks in shards of at most ``SHARD_ITEMS`` items, so the
@@ -49,6 +51,10 @@ RUN = 8
 MIN_PASSAGE = 64
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5
 QUESTION_ALONE = 0.8
+#: A shorter question passes with its answer only, if it has one.
+ALONE_WORDS = 8
+#: Only runs of so many words count as held, on a span of at most so many times the part's words.
+RUN_WORDS, SPAN = 3, 1.5
 
 SCHEMA = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
 
@@ -61,8 +67,11 @@ def split_item(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return [w for p in parts[:-1] for w in folded_words(p)], folded_words(parts[-1])
 
 
-def accepted(question_overlap: float, answer_overlap: float, answer: list[bytes]) -> bool:
-    return question_overlap >= QUESTION_ALONE or question_overlap >= QUESTION_OVERLAP and (not answer or answer_overlap >= ANSWER_OVERLAP)
+def accepted(question_overlap: float, answer_overlap: float, question: list[bytes], answer: list[bytes]) -> bool:
+    if not answer:
+        return question_overlap >= (QUESTION_OVERLAP if len(question) >= ALONE_WORDS else QUESTION_ALONE)
+    alone = question_overlap >= QUESTION_ALONE and len(question) >= ALONE_WORDS
+    return alone or question_overlap >= QUESTION_OVERLAP and answer_overlap >= ANSWER_OVERLAP
 
 
 def _least_cover(counts: Counter, impact: dict[bytes, float], share: float) -> float:
@@ -174,7 +183,7 @@ class ItemIndex:
     def may_pass(self, i: int, held: Counter) -> bool:
         """Whether the words of a passage, in whatever order, are enough of the item's."""
         q, a = (sum(min(m, held[t]) for t, m in part.items() if t in held) for part in self.parts[i])
-        return accepted(q / self.lengths[i, 0], a / self.lengths[i, 1], self.items[i][2])
+        return accepted(q / self.lengths[i, 0], a / self.lengths[i, 1], *self.items[i][1:])
 
     def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """(item, start, score) of every retrieved passage whose words are enough."""
@@ -193,10 +202,22 @@ class ItemIndex:
 
 
 def overlap(part: list[bytes], region: list[bytes]) -> float:
-    """Share of ``part`` that stands in ``region`` in the same order, in runs of words."""
+    """Share of ``part`` that stands in ``region`` in the same order, in runs of ``RUN_WORDS`` words close together."""
     if not part:
         return 0.0
-    return sum(m.size for m in SequenceMatcher(None, part, region, autojunk=False).get_matching_blocks()) / len(part)
+    least = min(RUN_WORDS, len(part))
+    grams = {tuple(part[k : k + least]) for k in range(len(part) - least + 1)}
+    if not any(tuple(region[k : k + least]) in grams for k in range(len(region) - least + 1)):
+        return 0.0
+    runs = [m for m in SequenceMatcher(None, part, region, autojunk=False).get_matching_blocks() if m.size >= least]
+    room, best, total, first = SPAN * len(part) + RUN_WORDS, 0, 0, 0
+    for m in runs:
+        total += m.size
+        while m.b + m.size - runs[first].b > room:
+            total -= runs[first].size
+            first += 1
+        best = max(best, total)
+    return best / len(part)
 
 
 def build_indexes(items: list[tuple], share: float, statistics: Statistics | None = None) -> list[ItemIndex]:
@@ -221,8 +242,9 @@ def leaks_in(words: list[bytes], indexes: list[ItemIndex]) -> list[tuple]:
             item_id, q, a = index.items[i]
             for score, start in sorted(passages):
                 region = words[max(0, start - step) : start + 3 * step]
-                qo, ao = overlap(q, region), overlap(a, region)
-                if accepted(qo, ao, a):
+                qo = overlap(q, region)
+                ao = overlap(a, region) if qo >= QUESTION_OVERLAP else 0.0
+                if accepted(qo, ao, q, a):
                     out.append((item_id, start, -score, qo, ao))
                     break
     return out
