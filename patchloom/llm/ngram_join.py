@@ -19,13 +19,13 @@ documents share one among the first n - ceil(0.8 n) + 1 of each. Steps:
    near copies takes a number of pairs in proportion to its size.
 
 All links between components are tested, so the components are exact. Sets are
-of 64-bit fingerprints cut to 54 bits; two different shingles of a pair look
+of 64-bit hashes (XXH64) cut to 54 bits; two different shingles of a pair look
 equal once in some 10**11 pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is its own component; a text of fewer than 5 words is one shingle; rows
 without a doc_id are left out; repeated rows are copies; rows that share a
-doc_id but not the text count as one document; other columns are not read.
+doc_id but not the text are documents of their own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,44 +35,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import staged
+from patchloom.llm.common import LOWER, UPPER, staged
 from patchloom.llm.components import connected_components
-from patchloom.llm.fingerprints import COUNTS, ENTRIES, SIZES, Rolling, exact_copies, repeated, representatives, text_bytes
+from patchloom.llm.fingerprints import COUNTS, ENTRIES, SIZES, exact_copies, repeated, representatives, row_keys, text_bytes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 KEY_BITS = 54
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shingle_maker(words: int):
-    """In a task: a function from a text to the fingerprints of its set of shingles."""
+    """In a task: a function from a text to the hashes of its set of shingles."""
 
     def make():
-        rolling = Rolling()
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
 
         def shingles(text: str | None):
-            raw = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            gap = _SPACE[raw]
-            # single spaces between words, none at the ends
-            keep = ~gap
-            keep[1:] |= gap[1:] & ~gap[:-1]
-            raw, gap = raw[keep], gap[keep]
-            raw = np.where(gap, np.uint8(0x20), raw)
-            if len(raw) and gap[-1]:
-                raw, gap = raw[:-1], gap[:-1]
-            if len(raw) and gap[0]:
-                raw, gap = raw[1:], gap[1:]
-            if not len(raw):
+            parts = (text or "").encode().translate(_FOLD).split()
+            if not parts:
                 return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-            spaces = np.flatnonzero(gap)
-            first, end = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(raw)]])
-            n = max(1, len(first) - words + 1)
-            keys = np.unique(rolling.of(rolling.prefix(raw), first[:n], end[min(words, len(first)) - 1 :][:n]))
+            line = b" ".join(parts)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+            ends = np.cumsum(sizes) - 1
+            starts = (ends - sizes + 1)[: max(1, len(parts) - words + 1)].tolist()
+            ends = ends[min(words, len(parts)) - 1 :].tolist()
+            keys = np.unique(np.array([digest(line[a:b]) for a, b in zip(starts, ends)], np.uint64))
             return keys, np.zeros(len(keys), np.uint32)
 
         return shingles
@@ -100,8 +91,25 @@ def _needed(n):
     return F.ceil(n * PERCENT / 100)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id long, n_shingles long, component_id long), a row for each row of ``docs`` with a doc_id."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS, unique_ids: bool = False) -> DataFrame:
+    """(doc_id long, n_shingles long, component_id long), a row for each row of ``docs`` with a doc_id.
+
+    With ``unique_ids``, rows that share a doc_id are known to have the same text.
+    """
+    if unique_ids:
+        return _classes(docs, text, doc_id, shingle_words)
+    rows = row_keys(docs, text, doc_id)
+    found = _classes(rows, "text", "row", shingle_words)
+    ids = rows.filter("row <> doc_id").select("row", F.col("doc_id").alias("own")).distinct()
+    if not ids.limit(1).count():
+        return found
+    # back from rows to doc_ids, and to the least doc_id of each component
+    named = staged(found.join(ids.withColumnRenamed("row", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")), "named_rows")
+    least = named.groupBy("component_id").agg(F.min("own").alias("least"))
+    return named.join(least, "component_id").select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, shingle_words: int) -> DataFrame:
     members = staged(exact_copies(docs, text, doc_id), "members")
     found = staged(repeated(representatives(docs, members, text, doc_id), shingle_maker(shingle_words), text_bytes(members), KEY_BITS, with_keys=True), "shared_shingles")
     sizes = found.filter(f"kind = {SIZES}").groupBy("ref").agg(F.max("n").alias("n_shingles"))

@@ -97,6 +97,20 @@ def test_near_duplicates_hot_group(spark):
     assert got == label
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    a, b = "one two three four five six seven eight nine", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    docs = spark.createDataFrame([(0, a), (1, a), (1, b), (2, b), (3, b), (1, a)], "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    assert got == [(0, 5, 0), (1, 4, 1), (1, 5, 0), (1, 5, 0), (2, 4, 1), (3, 4, 1)]
+
+
+def test_near_duplicates_of_regular_words(spark):
+    """Words on which polynomial hashes modulo powers of two agree (Thue-Morse) stay apart."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    docs = spark.createDataFrame([(0, word), (1, word.translate(str.maketrans("ab", "ba"))), (2, word)], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == [(0, 1, 0), (1, 1, 1), (2, 1, 0)]
+
+
 def test_remove_repeats(documents):
     rows = texts(documents)
     grams = Counter(b[i : i + 200] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - 199))
