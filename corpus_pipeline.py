@@ -41,7 +41,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated with other values of lang, source or n_chars the smallest stays.
     """
     rows = row_keys(docs, "text", "doc_id", COLUMNS[2:])
-    seen = staged(near_duplicates(rows, doc_id="row").filter("doc_id = component_id").groupBy(F.col("doc_id").alias("row")).agg(F.count(F.lit(1)).alias("n")), "kept_rows")
+    seen = staged(near_duplicates(rows, doc_id="row", unique_ids=True).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("row")).agg(F.count(F.lit(1)).alias("n")), "kept_rows")
     once = rows.join(seen.filter("n = 1"), "row", "left_semi").select(*COLUMNS)
     again = seen.filter("n > 1")
     n = again.count()
@@ -66,9 +66,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Operator 8: documents that hold a benchmark item go; of texts that share a doc_id only those that do."""
+    rows = row_keys(docs, "text", "doc_id", COLUMNS[2:])
+    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), doc_id="row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
