@@ -33,6 +33,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ SHARE = 0.5
 #: Passages scored together before each by itself.
 RUN = 8
 MIN_PASSAGE = 64
+#: Texts that are searched together, and runs times items that are scored together.
+TEXTS, CELLS = 64, 1_000_000
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5
 QUESTION_ALONE = 0.8
 #: A shorter question passes with its answer only, if it has one.
@@ -107,6 +110,13 @@ class Statistics:
             self.df.update(set(question + answer))
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 class ItemIndex:
     """BM25 impacts of the items of one passage length, with the largest by block of items."""
 
@@ -137,29 +147,31 @@ class ItemIndex:
         blocks = -(-len(items) // BLOCK_ITEMS)
         self.block_lowest = np.array([self.threshold[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min() for b in range(blocks)])
         # postings of all terms one after the other: item, impact, words of the question and of the answer; then the blocks'
-        flat, tops, self.at, self.block_at = [], [], {}, {}
+        flat, tops, self.row, ends = [], [], {}, [(0, 0)]
         for t, p in self.postings.items():
             top: dict[int, float] = {}
             for i, x in p:
                 top[i // BLOCK_ITEMS] = max(top.get(i // BLOCK_ITEMS, 0.0), x)
-            self.at[t] = np.arange(len(flat), len(flat) + len(p))
-            self.block_at[t] = np.arange(len(tops), len(tops) + len(top))
+            self.row[t] = len(self.row)
             flat += [(i, x, self.parts[i][0][t], self.parts[i][1][t]) for i, x in p]
             tops += top.items()
+            ends.append((len(flat), len(tops)))
+        self.ends = np.array(ends, np.int64)
         self.item, self.impact, self.in_question, self.in_answer = (np.array(c, k) for c, k in zip(zip(*flat, strict=True), (np.int64, float, float, float), strict=True))
         self.block, self.block_top = (np.array(c, k) for c, k in zip(zip(*tops, strict=True), (np.int64, float), strict=True))
 
     def _scored(self, passage) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items whose threshold the passage reaches, their scores, and the numbers of the postings met."""
         none = np.zeros(0, np.int64)
-        terms = [t for t in set(passage) if t in self.at]
-        if not terms:
+        rows = [r for r in map(self.row.get, set(passage)) if r is not None]
+        if not rows:
             return none, np.zeros(0), none
-        b = np.concatenate([self.block_at[t] for t in terms])
+        rows = np.array(rows)
+        b = _ranges(self.ends[rows, 1], self.ends[rows + 1, 1])
         live = np.bincount(self.block[b], self.block_top[b], len(self.block_lowest)) >= self.block_lowest - 1e-9
         if not live.any():
             return none, np.zeros(0), none
-        p = np.concatenate([self.at[t] for t in terms])
+        p = _ranges(self.ends[rows, 0], self.ends[rows + 1, 0])
         if not live.all():
             p = p[live[self.item[p] // BLOCK_ITEMS]]
         score = np.bincount(self.item[p], self.impact[p], len(self.items))
@@ -171,34 +183,52 @@ class ItemIndex:
         hit, score, _ = self._scored(passage)
         return list(zip(hit.tolist(), score.tolist(), strict=True))
 
-    def hopeful(self, run: list[bytes]) -> list[int]:
-        """Items that a passage inside ``run`` may hold: by score, and by the numbers of common words."""
-        hit, _, p = self._scored(run)
-        if not len(hit):
-            return []
-        q = np.bincount(self.item[p], self.in_question[p], len(self.items))[hit] / self.lengths[hit, 0]
-        a = np.bincount(self.item[p], self.in_answer[p], len(self.items))[hit] / self.lengths[hit, 1]
-        return hit[(q >= QUESTION_ALONE) | (q >= QUESTION_OVERLAP) & (self.open[hit] | (a >= ANSWER_OVERLAP))].tolist()
+    def hopeful(self, runs: list[list[bytes]]) -> dict[int, list[int]]:
+        """For each run the items that a passage inside it may hold: by score, and by the numbers of common words.
+
+        All runs are scored at once: the bounds of blocks first, then postings of the blocks that are left.
+        """
+        rows = [[r for r in map(self.row.get, set(run)) if r is not None] for run in runs]
+        terms = np.fromiter(chain.from_iterable(rows), np.int64)
+        who = np.repeat(np.arange(len(runs)), list(map(len, rows)))
+        blocks, items = len(self.block_lowest), len(self.items)
+        starts, ends = self.ends[terms], self.ends[terms + 1]
+        b, of = _ranges(starts[:, 1], ends[:, 1]), np.repeat(who, ends[:, 1] - starts[:, 1])
+        tops = np.bincount(of * blocks + self.block[b], self.block_top[b], len(runs) * blocks)
+        live = tops.reshape(len(runs), blocks) >= self.block_lowest - 1e-9
+        p, of = _ranges(starts[:, 0], ends[:, 0]), np.repeat(who, ends[:, 0] - starts[:, 0])
+        keep = live[of, self.item[p] // BLOCK_ITEMS]
+        p, of = p[keep], of[keep]
+        cell = of * items + self.item[p]
+        score, q, a = (np.bincount(cell, w[p], len(runs) * items).reshape(len(runs), items) for w in (self.impact, self.in_question, self.in_answer))
+        q, a = q / self.lengths[:, 0], a / self.lengths[:, 1]
+        enough = (q >= QUESTION_ALONE) | (q >= QUESTION_OVERLAP) & (self.open | (a >= ANSWER_OVERLAP))
+        found: dict[int, list[int]] = defaultdict(list)
+        for r, i in np.argwhere((score >= self.threshold - 1e-9) & (score > 0) & enough).tolist():
+            found[r].append(i)
+        return found
 
     def may_pass(self, i: int, held: Counter) -> bool:
         """Whether the words of a passage, in whatever order, are enough of the item's."""
         q, a = (sum(min(m, held[t]) for t, m in part.items() if t in held) for part in self.parts[i])
         return accepted(q / self.lengths[i, 0], a / self.lengths[i, 1], *self.items[i][1:])
 
-    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """(item, start, score) of every retrieved passage whose words are enough."""
+    def passages(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, float]]:
+        """(text, item, start, score) of every retrieved passage whose words are enough."""
         step = self.size // 2
-        starts = range(0, max(1, len(words) - step), step)
-        for k in range(0, len(starts), RUN):
-            own = starts[k : k + RUN]
-            found = self.hopeful(words[max(0, own[0] - step) : own[-1] + 3 * step])
-            if found:
+        runs = [(d, range(0, max(1, len(words) - step), step)[k : k + RUN]) for d, words in enumerate(texts) for k in range(0, len(range(0, max(1, len(words) - step), step)), RUN)]
+        together = max(1, CELLS // len(self.items))
+        for c in range(0, len(runs), together):
+            some = runs[c : c + together]
+            found = self.hopeful([texts[d][max(0, own[0] - step) : own[-1] + 3 * step] for d, own in some])
+            for r, items in found.items():
+                d, own = some[r]
                 for start in own:
-                    held = Counter(words[max(0, start - step) : start + 3 * step])
-                    for i in found:
+                    held = Counter(texts[d][max(0, start - step) : start + 3 * step])
+                    for i in items:
                         score = sum(x for t, x in self.impacts[i].items() if t in held)
                         if score >= self.threshold[i] - 1e-9 and self.may_pass(i, held):
-                            yield i, start, score
+                            yield d, i, start, score
 
 
 def overlap(part: list[bytes], region: list[bytes]) -> float:
@@ -230,26 +260,31 @@ def build_indexes(items: list[tuple], share: float, statistics: Statistics | Non
     return [ItemIndex(x, size, share, statistics) for size, x in sorted(by_size.items())]
 
 
-def leaks_in(words: list[bytes], indexes: list[ItemIndex]) -> list[tuple]:
-    """(item, first word, score, question and answer overlap) of the verified items in a text, the best passage that passes."""
+def leaks_in_texts(texts: list[list[bytes]], indexes: list[ItemIndex]) -> list[tuple]:
+    """(text, item, first word, score, question and answer overlap) of the verified items in texts, the best passage that passes."""
     out = []
     for index in indexes:
-        retrieved: dict[int, list[tuple[float, int]]] = defaultdict(list)
-        for i, start, score in index.passages(words):
-            retrieved[i].append((-score, start))
+        retrieved: dict[tuple[int, int], list[tuple[float, int]]] = defaultdict(list)
+        for d, i, start, score in index.passages(texts):
+            retrieved[d, i].append((-score, start))
         step = index.size // 2
-        for i, passages in retrieved.items():
+        for (d, i), passages in retrieved.items():
             item_id, q, a = index.items[i]
             for score, start in sorted(passages):
-                region = words[max(0, start - step) : start + 3 * step]
+                region = texts[d][max(0, start - step) : start + 3 * step]
                 qo = overlap(q, region)
                 ao = overlap(a, region) if qo >= QUESTION_OVERLAP else 0.0
                 if accepted(qo, ao, q, a):
-                    out.append((item_id, start, -score, qo, ao))
+                    out.append((d, item_id, start, -score, qo, ao))
                     break
     return out
 
 
+def leaks_in(words: list[bytes], indexes: list[ItemIndex]) -> list[tuple]:
+    """The same for one text, without its number."""
+    return [x[1:] for x in leaks_in_texts([words], indexes)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shard_items: int = SHARD_ITEMS, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``SCHEMA``: a row for each document and each item that it holds."""
     spark = docs.sparkSession
@@ -280,8 +315,9 @@ def _matcher(index):
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             rows = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(d, *x) for x in leaks_in(folded_words(t), indexes)]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(0, len(ids), TEXTS):
+                rows += [(ids[k + d], *x) for d, *x in leaks_in_texts([folded_words(t) for t in texts[k : k + TEXTS]], indexes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
 
     return run
