@@ -124,9 +124,17 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(starts, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")))["n"]
 
 
+#: Names of columns on the way.
+INTERNAL = ("_words", "_lines", "_uniq", "_h2", "_h4", "_h", "_good", "_placed")
+
+
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     n_failed_lines, kept_chars (long), kept (boolean) and clean_text (string)."""
+    clash = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c.lower() in INTERNAL}
+    if clash:  # such columns come through under other names
+        cleaned = clean_lines(docs.withColumnsRenamed(clash), clash.get(text, text))
+        return cleaned.withColumnsRenamed({v: k for k, v in clash.items()})
     outputs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed_lines", "kept_chars", "kept", "clean_text")
     low = {o.lower() for o in outputs}
     source = docs.select(*[c for c in docs.columns if c.lower() not in low or c == text])

@@ -54,6 +54,15 @@ def test_clean_lines(documents):
     assert "Alpha | beta" not in next(r.clean_text for r in got.values() if r.doc_id == 1016)
 
 
+def test_clean_lines_keeps_columns_of_any_name(spark):
+    text = "This is a line that is kept, of course, by all rules. " * 3
+    plain = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n long")
+    odd = plain.select("doc_id", plain.text.alias("_Words"), plain.n.alias("_h2"), plain.n.alias("_good"), plain.n.alias("kept"))
+    got, want = line_quality.clean_lines(odd, "_Words").collect()[0], line_quality.clean_lines(plain).collect()[0]
+    assert (got["_Words"], got["_h2"], got["_good"]) == (text, 5, 5)
+    assert (got.kept, got.n_words, got.clean_text) == (want.kept, want.n_words, want.clean_text)
+
+
 def test_near_duplicates(documents):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents).collect()]
     rows = texts(documents)
