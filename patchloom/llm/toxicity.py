@@ -3,6 +3,8 @@
 Words are compared by the kernel of all common subsequences of three letters,
 each weighed by lambda to the length it spans, normalised to 1 for equal words:
 an insult with letters put in between, left out, or with another ending stays close.
+A word of more than ``MAX_LETTERS`` letters counts as overlapping pieces that cover
+it, so text written without spaces is compared to its end.
 Landmarks are the words that labelled toxic documents have and others hardly
 do, with their closest harmless words. A sentence is the greatest kernel value of
 its words with each landmark, mapped by the inverse root of the landmarks' own
@@ -35,6 +37,8 @@ LANDMARKS = 96
 NEIGHBOURS = 32
 SAMPLE = 6000
 DECAY, ORDER, MAX_LETTERS = 0.7, 3, 20
+#: Pieces of longer words: letters, and from start to start; any PIECE - STEP + 1 letters in a row are in one.
+PIECE, STEP = 12, 4
 #: A word counts as suspicious from this kernel value with a toxic landmark on.
 CLOSE = 0.45
 THRESHOLD = 0.3
@@ -55,34 +59,41 @@ def normal(token: str) -> str:
     return _NO_LETTER.sub("", token)
 
 
-def sentence_words(text: str | None) -> list[list[str]]:
-    """Normalised words of each sentence; runs of single letters are joined."""
-    out = []
-    for s in _SENTENCE.split((text or "").lower()):
-        words, run = [], ""
-        for t in s.split():
-            w = normal(t)
-            if len(w) == 1:
-                run += w
-                continue
-            if len(run) > 2:
-                words.append(run)
-            run = ""
-            if w:
-                words.append(w)
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping pieces that cover one of more than MAX_LETTERS."""
+    if len(word) <= MAX_LETTERS:
+        return [word]
+    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE + STEP, STEP)]
+
+
+def _words(tokens: list[str]) -> list[str]:
+    """Normalised words of a sentence's tokens, long ones in pieces; runs of single letters are joined."""
+    words, run = [], ""
+    for t in tokens:
+        w = normal(t)
+        if len(w) == 1:
+            run += w
+            continue
         if len(run) > 2:
-            words.append(run)
-        if words:
-            out.append(words)
-    return out
+            words += pieces(run)
+        run = ""
+        if w:
+            words += pieces(w)
+    if len(run) > 2:
+        words += pieces(run)
+    return words
+
+
+def sentence_words(text: str | None) -> list[list[str]]:
+    """The words of each sentence."""
+    return [words for s in _SENTENCE.split((text or "").lower()) if (words := _words(s.split()))]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    a = np.zeros((len(words), MAX_LETTERS), np.int32)
-    for i, w in enumerate(words):
-        c = np.frombuffer(w[:MAX_LETTERS].encode("utf-32-le"), np.int32)
-        a[i, : len(c)] = c
-    return a, np.array([min(len(w), MAX_LETTERS) for w in words])
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    a = np.zeros((len(words), max(MAX_LETTERS, size.max(initial=0))), np.int32)
+    a[np.arange(a.shape[1]) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
+    return a, size
 
 
 def _raw_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +133,7 @@ class Kernel:
         bits = np.zeros((len(codes), 4), np.uint64)
         rows = np.arange(len(codes))
         for d in range(1, reach + 1):
-            for i in range(MAX_LETTERS - d):
+            for i in range(codes.shape[1] - d):
                 x, y = codes[:, i], codes[:, i + d]
                 h = (x * 37 + y * 101) % 256
                 bits[rows, h // 64] |= np.where((x != 0) & (y != 0), np.uint64(1) << (h % 64).astype(np.uint64), np.uint64(0))
@@ -202,38 +213,52 @@ class Scorer:
     """Features of documents; remembers each word's kernel row if it is suspicious, else None.
 
     Words of many documents are computed at once. A document is split into sentences only if it has a
-    suspicious word or letters spaced out.
+    suspicious word or letters spaced out; a token in several pieces has the greatest values of its suspicious ones.
     """
 
     DOCUMENTS = 400
 
     def __init__(self, landmarks: list[str], toxic: int):
-        self.kernel, self.toxic, self.rows = Kernel(landmarks, toxic), toxic, {}
+        self.kernel, self.toxic = Kernel(landmarks, toxic), toxic
+        self.forget()
+
+    def forget(self) -> None:
+        #: Rows of tokens and words; those with a row; those that are a single letter.
+        self.rows, self.close, self.single = {}, set(), set()
 
     def learn(self, words: set[str]) -> None:
-        fresh = {w: normal(w) for w in words if w not in self.rows}
-        plain = sorted(set(fresh.values()) - self.rows.keys())
+        fresh = {w: pieces(normal(w)) for w in words.difference(self.rows)}
+        plain = sorted({p for ps in fresh.values() for p in ps}.difference(self.rows))
         for k in range(0, len(plain), 50_000):
             part = plain[k : k + 50_000]
             close, rows = self.kernel.suspicious(part)
             self.rows.update(dict.fromkeys(part))
             self.rows.update((part[i], r) for i, r in zip(close.tolist(), rows, strict=True))
-        self.rows.update((w, self.rows[n]) for w, n in fresh.items())
+            self.close.update(part[i] for i in close.tolist())
+        for w, ps in fresh.items():
+            if len(ps[0]) == 1:
+                self.single.add(w)
+            found = [self.rows[p] for p in ps if p in self.close]
+            self.rows[w] = np.max(found, axis=0) if found else None
+            if found:
+                self.close.add(w)
 
     def sentences(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """Of each text, the features of its sentences with a suspicious word."""
         out = []
         for k in range(0, len(texts), self.DOCUMENTS):
             if len(self.rows) > CACHED_WORDS:
-                self.rows.clear()
+                self.forget()
             part = [(t or "").lower() for t in texts[k : k + self.DOCUMENTS]]
             words = [set(t.split()) for t in part]
             self.learn(set().union(*words))
-            split = [sentence_words(t) if _SPACED.search(t) or any(self.rows[w] is not None for w in ws) else [] for t, ws in zip(part, words, strict=True)]
+            split = [[s.split() for s in _SENTENCE.split(t)] if not self.close.isdisjoint(ws) or _SPACED.search(t) else [] for t, ws in zip(part, words, strict=True)]
+            self.learn({w for doc in split for s in doc for w in s})
+            # three single letters or more may be a run
+            split = [[_words(s) if sum(map(self.single.__contains__, s)) > 2 else s for s in doc] for doc in split]
             self.learn({w for doc in split for s in doc for w in s})
             for doc in split:
-                found = [[r for w in s if (r := self.rows[w]) is not None] for s in doc]
-                out.append([np.max(rows, axis=0) for rows in found if rows])
+                out.append([np.max([self.rows[w] for w in s if w in self.close], axis=0) for s in doc if not self.close.isdisjoint(s)])
         return out
 
 
@@ -245,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on the labelled rows that are not held out. ``docs``: (doc_id, text); ``labels``: (doc_id, toxic)."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter("doc_id is not null").join(marks, "doc_id")
+    # shuffled at any size: the ids of all labels are no broadcast
+    rows = docs.filter("doc_id is not null").join(marks.hint("merge"), "doc_id")
 
     def words(batches):
         for b in batches:

@@ -50,6 +50,17 @@ def test_gapped_insults_stay_close():
     assert toxicity.normal("st*u.pid!") == "stupid" and ["idiot"] in toxicity.sentence_words("you. i d i o t .")
 
 
+def test_long_words_count_to_their_end():
+    scorer = toxicity.Scorer(["stupid"], 1)
+    long = "anderenwortenbehrenhaarfeln" * 30
+    plain, last, spaced = scorer.sentences([long, long + "stupid", " ".join(long) + " s t u p i d"])
+    assert not plain and last[0][0] >= toxicity.CLOSE and spaced[0][0] >= toxicity.CLOSE
+    word = "".join(map(chr, range(0x4E00, 0x4E00 + 77)))
+    parts = toxicity.pieces(word)
+    assert all(word[i : i + 9] in "|".join(parts) for i in range(69)) and max(map(len, parts)) <= toxicity.MAX_LETTERS
+    assert toxicity._codes(["a" * 33])[0].all()
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (None, "")], "doc_id long, text string")
     got = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
