@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.common import staged
 
-BATCH_KEYS = 1_500_000
+BATCH_KEYS = 600_000
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 64
@@ -158,6 +158,7 @@ def repeated(df: DataFrame, fingerprints: Callable, size_bytes: int, bits: int =
             many = np.bincount(run)
             twice = many[run] > 1
             rows = [(0, _SIZE, r, len(k), None, None, None) for r, k, _ in state]
+            state = []
             rows = [(buckets + (turn + i) % buckets, *x[1:]) for i, x in enumerate(rows)]
             for i, (r, n, k, a) in enumerate(_by_ref(refs[twice], keys[twice], aux[twice], with_keys)):
                 rows.append((buckets + (turn + i) % buckets, _KNOWN, r, n, k, None, a))
@@ -174,7 +175,7 @@ def repeated(df: DataFrame, fingerprints: Callable, size_bytes: int, bits: int =
                     rows.append((b, _UNIQUE, None, j - i, _sorted_block(uk[i:j]), head + blob[0] + blob[1], _deflate(ua[i:j])))
                 if q > p:
                     rows.append((b, _STRONG, None, q - p, _sorted_block(sk[p:q]), None, _deflate(sn[p:q].astype(np.uint32))))
-            state, held = [], 0
+            held = 0
             for k in range(0, len(rows), 2000):
                 yield _batch(rows[k : k + 2000], names, kinds)
 

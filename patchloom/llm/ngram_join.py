@@ -10,9 +10,11 @@ documents share one among the first n - ceil(0.8 n) + 1 of each. Steps:
 3. The others' shingles get their frequencies, and each document its prefix.
    Documents with equal prefixes and sizes form a group.
 4. First pairs: each group's members with its first member, and for each prefix
-   shingle the first members of its groups with the smallest of them; only sizes
-   that can reach 0.8. The pairs are verified on the whole sets, and links joined
-   to components.
+   shingle the first members of its groups with the one of them whose shingles
+   are the most frequent; only sizes and places of the shingle that leave room
+   for 0.8. The pairs are verified on the whole sets, and links joined to
+   components. What is left of a shingle's documents meets three members of
+   their largest component in the same way.
 5. The groups are expanded: where a shingle's documents still lie in several
    components, every pair across components that was not verified yet is. A
    document meets its own component's members no more, so a large group of
@@ -91,6 +93,11 @@ def _needed(n):
     return F.ceil(n * PERCENT / 100)
 
 
+def _may_link():
+    """Of documents that meet at a shingle, the sizes and what follows it in both leave room for a link."""
+    return F.expr(f"least(n, na) * 100 >= greatest(n, na) * {PERCENT} and least(left, left_a) * {100 + PERCENT} >= (n + na) * {PERCENT}")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS, unique_ids: bool = False) -> DataFrame:
     """(doc_id long, n_shingles long, component_id long), a row for each row of ``docs`` with a doc_id.
 
@@ -124,31 +131,37 @@ def _classes(docs: DataFrame, text: str, doc_id: str, shingle_words: int) -> Dat
         .withColumn("alone", F.greatest(F.lit(0).cast("long"), F.col("n_shingles") - F.size("s")))
         .withColumn("n_prefix", F.col("n_shingles") - _needed(F.col("n_shingles")) + 1 - F.col("alone"))
         .filter("n_prefix > 0")
-        .select("ref", F.col("n_shingles").alias("n"), F.col("s.key").alias("keys"), F.slice(F.col("s.key"), 1, F.col("n_prefix").cast("int")).alias("prefix")),
+        .select("ref", F.col("n_shingles").alias("n"), F.col("s.key").alias("keys"), F.slice(F.col("s.key"), 1, F.col("n_prefix").cast("int")).alias("prefix"),
+                F.aggregate(F.col("s.df"), F.lit(0).cast("long"), lambda a, x: a + x).alias("weight")),
         "sets",
     )
     grouped = sets.select("ref", "n", "prefix", F.xxhash64("n", "prefix").alias("g1"), F.md5(F.concat_ws(",", F.col("prefix").cast("array<string>"))).alias("g2"))
     first = grouped.groupBy("n", "g1", "g2").agg(F.min("ref").alias("first"), F.count(F.lit(1)).alias("size"))
     inside = grouped.join(first.filter("size > 1"), ["n", "g1", "g2"]).filter("ref <> first").select(F.col("first").alias("a"), F.col("ref").alias("b"))
-    lists = staged(sets.select("ref", "n", F.explode("prefix").alias("key")), "prefix_lists")
-    # groups meet by their first members, each with the smallest of its list
+    # left: shingles from this one on in the order; linked documents have so many that they can still share, at the first one that they share
+    lists = staged(sets.select("ref", "n", "weight", F.size("keys").alias("size"), F.posexplode("prefix").alias("pos", "key")).select("ref", "n", "weight", "key", (F.col("size") - F.col("pos")).alias("left")), "prefix_lists")
+    # groups meet by their first members, each with the one of its list whose shingles are the most frequent
     heads = lists.join(first.filter("size > 1").select(F.col("first").alias("ref")).unionAll(first.filter("size = 1").select(F.col("first").alias("ref"))), "ref", "left_semi")
-    pivot = heads.groupBy("key").agg(F.min(F.struct("ref", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("p.ref").alias("a"), F.col("p.n").alias("na"))
-    across = heads.join(pivot, "key").filter(f"ref <> a and least(n, na) * 100 >= greatest(n, na) * {PERCENT}").select("a", F.col("ref").alias("b"))
+    pivot = heads.groupBy("key").agg(F.max(F.struct("weight", "ref", "n", "left")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("p.ref").alias("a"), F.col("p.n").alias("na"), F.col("p.left").alias("left_a"))
+    across = heads.join(pivot, "key").filter("ref <> a").filter(_may_link()).select("a", F.col("ref").alias("b"))
     tried = staged(inside.unionAll(across).distinct(), "first_pairs")
     links = staged(_linked(tried, sets), "first_links")
     label = _labels(connected_components(links), sets)
 
+    # what is left of a list meets three members of its largest component before all pairs do
+    open_lists = _open(lists, label, "labelled")
+    hub = F.struct("ref", "n", "left")
+    ends = [F.max_by(hub, F.struct("left", "ref")), F.max_by(hub, F.struct("weight", "ref")), F.max_by(hub, F.struct(F.xxhash64("ref", "key"), "ref"))]
+    hubs = open_lists.filter("label = main").groupBy("key").agg(F.array_distinct(F.array(*ends)).alias("hubs")).select("key", F.explode("hubs").alias("p")).select("key", F.col("p.ref").alias("a"), F.col("p.n").alias("na"), F.col("p.left").alias("left_a"))
+    more = staged(_new(open_lists.filter("label <> main").join(hubs, "key").filter(_may_link()), tried), "more_pairs")
+    links = staged(links.unionAll(_linked(more, sets)), "more_links")
+    tried = tried.unionAll(more)
+
     # expand: pairs across the components that still meet in a list
-    labelled = staged(lists.join(label, "ref"), "labelled")
-    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("key", F.col("m.label").alias("main"))
-    open_lists = labelled.join(top, "key")
-    minor = open_lists.filter("label <> main").select("key", F.col("ref").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    cross = open_lists.join(minor, "key").filter(f"ref <> a and label <> la and (label = main or a < ref) and least(n, na) * 100 >= greatest(n, na) * {PERCENT}")
-    pairs = cross.select(F.least("a", "ref").alias("a"), F.greatest("a", "ref").alias("b")).distinct()
-    tested = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = staged(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets), "late_links")
+    open_lists = _open(lists, _labels(connected_components(links), sets), "labelled_again")
+    minor = open_lists.filter("label <> main").select("key", F.col("ref").alias("a"), F.col("n").alias("na"), F.col("left").alias("left_a"), F.col("label").alias("la"))
+    cross = open_lists.join(minor, "key").filter("ref <> a and label <> la and (label = main or a < ref)").filter(_may_link())
+    late = staged(_linked(_new(cross, tried), sets), "late_links")
     nodes = connected_components(links.unionAll(late))
 
     joined = members.join(sizes, "ref", "left").join(nodes.withColumnRenamed("node", "ref"), "ref", "left")
@@ -156,6 +169,20 @@ def _classes(docs: DataFrame, text: str, doc_id: str, shingle_words: int) -> Dat
     return joined.select("doc_id", n.alias("n_shingles"), F.when(n > 0, F.coalesce("label", "ref")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _open(lists: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """The lists whose members lie in several components, with each one's label and the largest component of the list."""
+    labelled = staged(lists.join(label, "ref"), name)
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("key", F.col("m.label").alias("main"))
+    return labelled.join(top, "key")
+
+
+def _new(met: DataFrame, tried: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of ``met`` (a, ref) that were not verified yet."""
+    pairs = met.select(F.least("a", "ref").alias("a"), F.greatest("a", "ref").alias("b")).distinct()
+    return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     one = sets.select(F.col("ref").alias("a"), F.col("keys").alias("ka"), F.col("n").alias("na"))

@@ -320,3 +320,25 @@ def test_prose_of_the_same_words_is_no_leak(spark):
     got = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
     assert set(held) <= set(got)
     assert not [x for x in got if x[0] < 1000] and len(got) <= len(held) + 2
+
+
+def test_near_copies_meet_few_members(spark, monkeypatch):
+    """A large group of near copies takes pairs in proportion to its size, also where few of them are alike enough."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for k, at in enumerate(rng.choice(150, int(rng.integers(0, 4)), replace=False)):
+            words[at] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    verified, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, sets: verified.append(pairs.count()) or linked(pairs, sets))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = list(range(400))
+    for a, b in itertools.combinations(range(400), 2):
+        common = len(shingles[a] & shingles[b])
+        if 100 * common >= 80 * (len(shingles[a]) + len(shingles[b]) - common) and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+    assert got == dict(enumerate(want)) and sum(verified) < 400 * 12
