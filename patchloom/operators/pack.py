@@ -113,8 +113,8 @@ def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], we
     if max_fold_items is None:
         return _pack_fold(df, group_cols, order, cap_units, slot_col).select(*out)
     # one small aggregate decides which groups are too long to fold in one task
-    sizes = df.groupBy(*group_cols).agg(F.count("*").alias("__n"))
-    hot_stats = sizes.where(F.col("__n") > max_fold_items).agg(F.count("*"), F.sum("__n"), F.max("__n")).first()
+    sizes = df.groupBy(*group_cols).agg(F.count("*").alias("__n"), F.sum(F.col("__w").cast("decimal(28,0)")).alias("__total"))
+    hot_stats = sizes.where(F.col("__n") > max_fold_items).agg(F.count("*"), F.sum("__n"), F.max("__n"), F.max("__total")).first()
     if not hot_stats[0]:
         return _pack_fold(df, group_cols, order, cap_units, slot_col).select(*out)
     from patchloom.operators.pack_parallel import pack_parallel
@@ -130,7 +130,7 @@ def pack(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], we
     keys = ["__g", *order_cols]
     src = hot.select(*keys, "__w") if unique_order else hot
     parallel = pack_parallel(src, ["__g"], order_cols if unique_order else order, cap_units, slot_col,
-                             n_rows=int(hot_stats[1]), max_group=int(hot_stats[2]))
+                             n_rows=int(hot_stats[1]), max_group=int(hot_stats[2]), max_total=int(hot_stats[3]))
     if unique_order:
         parallel = hot.join(parallel.select(*keys, slot_col), keys)
     parallel = parallel.select("__g.*", *[c for c in parallel.columns if c != "__g"])

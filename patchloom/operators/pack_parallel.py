@@ -9,8 +9,10 @@ Same rule as ``pack`` (see there), computed without ever gathering a group:
    ``next(i)`` is the last item ``j`` whose exclusive prefix ``E_j <= E_i + cap``
    (an as-of lookup done as one sort + running max, also two-level); a big
    item is followed by a new slot; past the end points to ``N + 1``;
-3. pointer doubling: ``J_{k+1} = J_k o J_k`` (log2 N equi-joins);
-4. slot starts = items reachable from position 1: ``S_{k+1} = S_k U J_k(S_k)``;
+3. where a path that enters a block of positions leaves it, followed in the
+   block's task, and pointer doubling over these few entries alone;
+4. slot starts = items reachable from position 1, walked in each block from
+   its entry on the path;
 5. ``slot`` = running count of starts (two-level again).
 
 Every step is a join or window over bounded partitions; levels are
@@ -25,12 +27,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.session import ensure_checkpoint_dir
 
 ROWS_PER_BLOCK = 1_000_000
+POSITIONS_PER_BLOCK = 1 << 18
 MAX_BROADCAST_GROUPS = 1_000_000
 
 
@@ -75,17 +81,88 @@ def running_count(df: DataFrame, group_cols, block: Column, order_cols, out: str
     return s.drop("__blk")
 
 
-def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int) -> DataFrame:
+def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int,
+              positions_per_block: int = POSITIONS_PER_BLOCK) -> DataFrame:
     """Positions reachable from ``first(group, __pos)`` by following ``jump(group, __pos, __nx, __N)``
     (``__nx > __pos``; ``__nx > __N`` means past the end).
 
-    Pointer doubling, interleaved with the enumeration: after round k the
+    Positions are cut into blocks. A path enters a block at ``first`` or where a jump from another block
+    lands; a task follows each of these places to where it leaves the block, pointer doubling over these
+    few places alone (``_doubled``) finds the entries on the path, and tasks walk each block from them.
+    So the jumps themselves are read twice, however long the path is.
+    """
+    g = list(group_cols)
+    ensure_checkpoint_dir(jump.sparkSession)
+    block = lambda c: F.floor(F.col(c) / F.lit(positions_per_block)).cast("bigint")
+    edges = jump.select(*g, block("__pos").alias("__blk"), "__pos", "__nx", "__N")
+    ends = edges.where((F.col("__nx") <= F.col("__N")) & (block("__nx") > F.col("__blk"))).select(*g, F.col("__nx").alias("__pos"))
+    ends = ends.distinct().checkpoint()
+    entries = first.select(*g, "__pos")
+    if not ends.isEmpty():
+        places = ends.unionByName(entries).distinct()
+        exits = _in_blocks(edges, places, g, block("__pos"), _exits, "__pos bigint, __nx bigint, __N bigint").checkpoint()
+        entries = _doubled(exits, g, entries, max_steps)
+    return _in_blocks(edges, entries, g, block("__pos"), _walk, "__pos bigint")
+
+
+def _in_blocks(edges: DataFrame, places: DataFrame, g: list[str], block: Column, follow, out: str) -> DataFrame:
+    """``follow(pos, nx, n, places)`` of the jumps and places of each block, with the group's columns."""
+    schema = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in g) + ", " + out
+    names = [c.split()[0] for c in out.split(", ")]
+    none = F.lit(None).cast("bigint")
+    rows = edges.unionByName(places.select(*g, block.alias("__blk"), "__pos", none.alias("__nx"), none.alias("__N")))
+
+    def run(table: pa.Table) -> pa.Table:
+        place = pc.is_null(table["__nx"])
+        at = np.unique(table.filter(place)["__pos"].to_numpy())
+        found = [np.zeros(0, np.int64)] * len(names)
+        if len(at):
+            t = table.filter(pc.invert(place))
+            pos, nx, n = (t[c].to_numpy() for c in ("__pos", "__nx", "__N"))
+            order = np.argsort(pos, kind="stable")
+            found = follow(pos[order], nx[order], n[order], at)
+        group = [table[c].take(pa.array(np.zeros(len(found[0]), np.int64))) for c in g]
+        return pa.Table.from_arrays([*group, *map(pa.array, found)], [*g, *names])
+
+    return rows.groupBy(*g, "__blk").applyInArrow(run, schema)
+
+
+def _inside(pos: np.ndarray, nx: np.ndarray) -> list[int]:
+    """Of each jump the number of the jump it leads to, or -1 if that is in no row of the block."""
+    to = np.searchsorted(pos, nx)
+    hit = to < len(pos)
+    hit[hit] = pos[to[hit]] == nx[hit]
+    return np.where(hit, to, -1).tolist()
+
+
+def _exits(pos: np.ndarray, nx: np.ndarray, n: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Each place that has a jump, with where its path leaves the block."""
+    to = _inside(pos, nx)
+    last = list(range(len(to)))
+    for i in range(len(to) - 1, -1, -1):
+        if to[i] >= 0:
+            last[i] = last[to[i]]
+    at = np.flatnonzero(np.isin(pos, places))
+    out = np.array(last, np.int64)[at]
+    return [pos[at], nx[out], n[out]]
+
+
+def _walk(pos: np.ndarray, nx: np.ndarray, n: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """The positions reachable from the places inside the block, and the places."""
+    to, seen = _inside(pos, nx), np.zeros(len(pos), bool)
+    for i in np.flatnonzero(np.isin(pos, places)).tolist():
+        while i >= 0 and not seen[i]:
+            seen[i] = True
+            i = to[i]
+    return [np.union1d(pos[seen], places)]
+
+
+def _doubled(jump: DataFrame, g: list[str], first: DataFrame, max_steps: int) -> DataFrame:
+    """Positions reachable, by pointer doubling interleaved with the enumeration: after round k the
     starts are ``{next^m(first) : m < 2^(k+1)}``; when a round adds none, the
     path has ended, so the rounds (each a checkpointed, evenly keyed equi-join)
     number about log2(path length), at most log2(max_steps) + 1.
     """
-    g = list(group_cols)
-    ensure_checkpoint_dir(jump.sparkSession)
     level = jump
     starts = first.select(*g, "__pos").checkpoint()
     found = starts.count()
@@ -111,16 +188,18 @@ def reachable(jump: DataFrame, group_cols, first: DataFrame, max_steps: int) ->
 
 def pack_parallel(df: DataFrame, group_cols, order_cols, cap: int, slot_col: str = "slot",
                   rows_per_block: int = ROWS_PER_BLOCK, n_rows: int | None = None,
-                  max_group: int | None = None) -> DataFrame:
-    """``df`` (weights in units: column ``__w``) with ``slot_col`` added; ``order_cols`` is the total order."""
+                  max_group: int | None = None, max_total: int | None = None) -> DataFrame:
+    """``df`` (weights in units: column ``__w``) with ``slot_col`` added; ``order_cols`` is the total order.
+
+    ``max_group`` and ``max_total`` are the most rows and the greatest sum of weights of a group, if known."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     g = group_cols
     if n_rows is None or max_group is None:
         st = df.groupBy(*g).count().agg(F.sum("count"), F.max("count")).first()
         n_rows, max_group = int(st[0] or 0), int(st[1] or 0)
     nb = _blocks(n_rows, rows_per_block)
-    # no weight passes cap + 1
-    kind = "bigint" if max_group * (cap + 1) < 1 << 62 else "decimal(38,0)"
+    # no weight passes cap + 1, so no sum passes that for each row
+    kind = "bigint" if (max_group * (cap + 1) if max_total is None else max_total) + cap < 1 << 62 else "decimal(38,0)"
     capl = F.lit(cap).cast(kind)
 
     # 1. positions and prefix sums (rows keep their payload)

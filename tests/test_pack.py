@@ -4,6 +4,7 @@ import random
 import re
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,23 @@ def test_golden_split_vectors(spark, make_diffs):
     for k, (_, mx, body_pieces) in cases.items():
         got = split_oversized(secs.where(F.col("diff_id") == k), mx).orderBy("sub").collect()
         assert [r.lines - 4 for r in got] == body_pieces, k
+
+
+def test_paths_cross_blocks_of_positions(spark):
+    """A path over many blocks of positions, found with few rounds: the jumps are walked inside their blocks."""
+    from patchloom.operators import pack_parallel as P
+
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for g in ("a", "b", None):
+        n = 300
+        nx = [int(p + rng.integers(1, 60 if p % 7 == 0 else 6)) for p in range(1, n + 1)]
+        rows += [((g,), p, x if x <= n else n + 1, n) for p, x in enumerate(nx, 1)]
+        p = 1
+        while p <= n:
+            want.add((g, p))
+            p = nx[p - 1]
+    jump = spark.createDataFrame(rows, "__g struct<k: string>, __pos long, __nx long, __N long")
+    for size in (16, 1 << 18):
+        got = P.reachable(jump, ["__g"], jump.where("__pos = 1").select("__g", "__pos"), 300, positions_per_block=size).collect()
+        assert len(got) == len(want) and {(r[0].k, r[1]) for r in got} == want
