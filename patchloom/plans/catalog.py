@@ -109,16 +109,21 @@ _EDITED_CORPUS = (O.CORPUS.rsplit("diffs AS (", 1)[0] + "diffs_before AS (" + O.
 
 
 def _reloaded(spark, sf_dir):
-    """A store that loaded the corpus, then edits of the odd sources' diffs, then late arrivals of what it had."""
+    """A store that loaded the corpus, then edits of the odd sources' diffs, then late arrivals of what it had.
+
+    The corpus is derived and written once; every load reads the written diffs, several times over.
+    """
     import datetime
     import uuid
 
     from patchloom.session import ensure_checkpoint_dir
     from patchloom.sources.versions import CorpusStore
 
-    store = CorpusStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", n_buckets=16)
+    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = CorpusStore(spark, root, n_buckets=16)
     at = lambda day: F.lit(datetime.datetime(2024, 1, day)).alias("modification_time")
-    first = load_corpus(spark, sf_dir)
+    load_corpus(spark, sf_dir).write.parquet(f"{root}-corpus")
+    first = spark.read.schema("diff_id string, content string").parquet(f"{root}-corpus")
     odd = F.regexp_extract("diff_id", r"^src(\d+)", 1).cast("int") % 2 == 1
     parts = _ADDED.split("{d}")
     added = F.concat(*[x for p in parts for x in (F.lit(p), F.col("diff_id"))][:-1])
