@@ -91,10 +91,11 @@ def _least_cover(counts: Counter, impact: dict[bytes, float], share: float) -> f
 def least_score(question: list[bytes], answer: list[bytes], impact: dict[bytes, float]) -> float:
     """No set of words that verification accepts has a lower score."""
     q, a = Counter(question), Counter(answer)
-    both = _least_cover(q, impact, QUESTION_OVERLAP)
-    if a:
-        both += _least_cover(a, {t: 0.0 if t in q else impact[t] for t in a}, ANSWER_OVERLAP)
-    return min(_least_cover(q, impact, QUESTION_ALONE), both)
+    long = len(question) >= ALONE_WORDS
+    if not a:
+        return _least_cover(q, impact, QUESTION_OVERLAP if long else QUESTION_ALONE)
+    both = _least_cover(q, impact, QUESTION_OVERLAP) + _least_cover(a, {t: 0.0 if t in q else impact[t] for t in a}, ANSWER_OVERLAP)
+    return min(_least_cover(q, impact, QUESTION_ALONE), both) if long else both
 
 
 class Statistics:
